@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import ann, bpe, exact_dedup, packing, pii, quality, simhash, token_counts, token_files
+from cairnflow.llm import ann, bpe, chat, exact_dedup, packing, pii, quality, simhash, token_counts, token_files
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.build_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_mixture(table(spark, sf_dir, "documents"), BYTE)
 
