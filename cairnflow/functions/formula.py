@@ -378,15 +378,31 @@ def _zero(x: Typed) -> Column:
     return F.coalesce(_float(x), F.lit(0.0))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two with half of its digits each."""
+    c = F.lit(134217729.0) * x
+    high = c - (c - x)
+    return high, x - high
+
+
+def _rounded(x: Column, scale: Column) -> Column:
+    """``x * scale`` rounded half to even as if the product were exact: where the product looks like a tie, the
+    error of the multiplication tells on which side it lies."""
+    product = x * scale
+    (a, b), (c, d) = _halves(x), _halves(scale)
+    error = ((a * c - product) + a * d + b * c) + b * d
+    tie = product - F.floor(product) == 0.5
+    return F.when(tie & (error > 0), F.ceil(product)).when(tie & (error < 0), F.floor(product)).otherwise(F.rint(product)).cast("double")
+
+
 def _round(x: Typed, digits: Typed | None = None) -> Typed:
-    """Half to even on the decimal digits shown."""
-    d = F.lit(0) if digits is None else _int(digits)
-    scale = F.pow(F.lit(10.0), d)
-    value = F.when(d == 0, F.rint(_zero(x))).otherwise(F.rint(_zero(x) * scale) / scale)
-    parts = [x] if digits is None else [x, digits]
+    """Half to even, of the binary value."""
     if digits is None:
-        return _of("int", F.rint(_zero(x)).cast("long"), *parts)
-    return _of("float", value, *parts, also=digits.value.isNull())
+        return _of("int", F.rint(_zero(x)).cast("long"), x)
+    d, value = _int(digits), _zero(x)
+    scale = F.pow(F.lit(10.0), F.abs(d))
+    rounded = F.when(d >= 0, _rounded(value, scale) / scale).otherwise(F.rint(value / scale) * scale)
+    return _of("float", rounded, x, digits, also=digits.value.isNull())
 
 
 def _mod(a: Typed, b: Typed) -> Typed:

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnflow import model as M
 
@@ -70,7 +71,7 @@ def bucket_md5(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % 100).cast("int")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def bucket_blake2b(key: pd.Series) -> pd.Series:
     """The first 8 bytes of BLAKE2b, big-endian, modulo 100. No built-in function computes this hash."""
     return key.map(lambda k: None if k is None else int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "big") % 100)
