@@ -14,7 +14,10 @@ from cairnflow import model as M
 from cairnflow.functions import formula as L
 from cairnflow.functions import scalar as S
 from cairnflow.operators import cdc, corpus, graph, logs, readiness, rules
+from cairnflow.session import SETTINGS, shared_path
+from cairnflow.sources import changes
 from cairnflow.sources.views import VIEWS, as_cte, view
+from cairnflow.streaming import shadow
 
 #: The moment that queries take as now.
 NOW = "2024-01-31 00:00:00"
@@ -354,6 +357,51 @@ def divergence_by_category(spark, rows):
     return _observed(rows).groupBy(F.coalesce("category", F.lit("clean")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stream_events(rows):
+    return _events(rows).select("replay_id", "sobject", "record_id", "change_type", F.col("commit_ts").cast("timestamp").alias("commit_ts"), "fields")
+
+
+def shadow_rules():
+    """Made where they are used, so that they travel to the workers by value."""
+    return [lambda r: {"Score": "1"} if r.get("Status") == "purchase" else None, lambda r: None if r.get("Amount") else "no amount"]
+
+
+@query(None, "cdc")
+def shadow_state_batch(spark, rows):
+    return shadow.shadow_batch(_stream_events(rows), shadow_rules())
+
+
+@query(None, "cdc")
+def stream_shadow_state(spark, rows):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    where = shared_path(spark, "shadow")
+    _stream_events(rows).write.json(f"{where}/in")
+    shadow.run_once(shadow.shadow_stream(changes.read_stream(spark, f"{where}/in"), shadow_rules()), f"{where}/out", f"{where}/checkpoint")
+    return spark.read.parquet(f"{where}/out")
+
+
+@query(_ready(), "obs")
+def stream_readiness(spark, obs):
+    where = shared_path(spark, "readiness")
+    obs.select("process_id", "observed_at", "diverged", "severity").write.parquet(f"{where}/in")
+    schema = spark.read.parquet(f"{where}/in").schema
+    scored = readiness.readiness(spark.readStream.schema(schema).parquet(f"{where}/in"))
+
+    def write(batch, _):
+        batch.write.mode("overwrite").parquet(f"{where}/out")  # each micro-batch has all processes' totals
+
+    scored.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out")
+
+
+@query(f"""WITH {_OBSERVED}, f AS (SELECT category, min(event_id) AS id FROM o WHERE category IN ('formula_edge_case', 'translation_error') GROUP BY 1)
+    SELECT 'divergence-' || category AS finding_id, 'discovered_undocumented' AS category, CASE WHEN category = 'translation_error' THEN 'major' ELSE 'minor' END AS severity, 'Observed during shadow execution; categorized as ' || category || '.' AS rationale,
+    CASE WHEN amount > 100 THEN 'Runtime produced: Amount=' || (amount + 1) ELSE 'Runtime produced: ' END AS runtime_behavior FROM f JOIN cdc ON id = event_id""", "cdc")
+def parity_findings(spark, rows):
+    seen = _observed(rows).filter("category in ('formula_edge_case', 'translation_error')").withColumn("id", F.col("event_id"))
+    return readiness.parity_findings(seen).select("finding_id", "category", "severity", "rationale", "runtime_behavior")
+
+
 # --- formulas ---------------------------------------------------------------------------------------------------
 
 

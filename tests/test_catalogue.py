@@ -48,3 +48,21 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_equals_batch_on_all_events(spark, sf):
+    batch, stream = (catalogue.QUERIES[n](spark, sf) for n in ("shadow_state_batch", "stream_shadow_state"))
+    order = ["replay_id"]
+    assert batch.orderBy(order).collect() == stream.orderBy(order).collect()
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from cairnflow.__main__ import main
+    from cairnflow.sources.views import view
+
+    assert main(["queries"]) == 0 and "readiness_score" in capsys.readouterr().out
+    view(spark, sf, "obs").write.parquet(f"{tmp_path}/obs")
+    view(spark, sf, "cfg").drop("n_nationkey").write.parquet(f"{tmp_path}/cfg")
+    assert main(["status", f"{tmp_path}/obs", "--now", catalogue.NOW, "--html", f"{tmp_path}/x.html"]) == 0
+    assert main(["advance", f"{tmp_path}/obs", f"{tmp_path}/cfg", "--now", catalogue.NOW, "--out", f"{tmp_path}/new"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/new").count() == 25
