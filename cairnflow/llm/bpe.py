@@ -14,20 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.tokens import word_tokenizer
+from cairnflow.llm.tokens import word_documents, word_tokenizer
 
 #: Rows tokenised at a time, and characters after which a batch ends early.
-ROWS, CHARS = 2_000, 16_000_000
+ROWS, CHARS = 4_000, 12_000_000
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = ROWS, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of bounded size with their texts; null is empty."""
     for batch in batches:
         at = 0
         sizes = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
         while at < batch.num_rows:
             end, total = at, 0
-            while end < batch.num_rows and end - at < ROWS and (end == at or total + sizes[end] <= CHARS):
+            while end < batch.num_rows and end - at < rows and (end == at or total + sizes[end] <= chars):
                 total += sizes[end]
                 end += 1
             part = batch.slice(at, end - at)
@@ -35,24 +35,15 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
             at = end
 
 
-_CACHES: dict[tuple[str, str], dict] = {}
-
-
-def worker_cache(path: str, kind: str) -> dict:
-    return _CACHES.setdefault((path, kind), {})
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of each row, whole texts, null as empty; equal to the tokenizers library's
     encode without added special tokens. Repeated rows give repeated results; other columns are not read."""
 
     def run(batches):
-        tok, cache = word_tokenizer(tokenizer), worker_cache(tokenizer, "ids")
         for part, texts in text_batches(batches):
-            found = [tok.stretches(t) for t in texts]
-            tok.known(cache, found, lambda ids: ids.tolist())
-            ids = [[i for s in f for i in cache[s]] for f in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, bounds = word_documents(tokenizer, texts)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -77,21 +68,16 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     """
 
     def run(batches):
-        tok, cache = word_tokenizer(tokenizer), worker_cache(tokenizer, "written")
-        token = tok.token
-
-        def value(ids):
-            ids = ids.tolist()
-            return len(ids), " ".join(map(str, ids)), " ".join([token[i] for i in ids])
-
+        token = word_tokenizer(tokenizer).token
+        shown = pa.array([token.get(i, "") for i in range(max(token) + 1)])
+        number = pa.array([str(i) for i in range(max(token) + 1)])
         for part, texts in text_batches(batches):
-            found = [tok.stretches(t) for t in texts]
-            tok.known(cache, found, value)
+            ids, bounds = word_documents(tokenizer, texts)
             rows = []
-            for f in found:
-                parts = [p for p in map(cache.__getitem__, f) if p[0]]
-                ids, text = (" ".join([p[k] for p in parts]).encode() for k in (1, 2))
-                rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+            for a, b in zip(bounds.tolist(), bounds.tolist()[1:]):
+                own = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(ids[a:b]))
+                parts = [pc.binary_join(pa.ListArray.from_arrays(own.offsets, x.take(own.values)), " ")[0].as_buffer() for x in (number, shown)]
+                rows.append((b - a, *(hashlib.sha256(x).hexdigest() for x in parts)))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],

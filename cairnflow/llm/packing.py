@@ -92,7 +92,7 @@ def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, tex
         tok, end, chunk = byte_tokenizer(tokenizer), np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId()
         upto: dict[str, int] = {}
         for part, texts in text_batches(batches):
-            ids = [tok.ids(t) + end for t in texts]
+            ids = [tok.ids(t).astype("<u2").tobytes() + end for t in texts]
             sources, starts = part.column("source").to_pylist(), []
             for s, i in zip(sources, ids):
                 starts.append(upto.get(s, 0))

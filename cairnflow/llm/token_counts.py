@@ -22,7 +22,7 @@ def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def run(batches):
         tok = byte_tokenizer(tokenizer)
         for part, texts in text_batches(batches):
-            n = np.array([len(tok.ids(t)) // 2 for t in texts], np.int64)
+            n = np.array([len(tok.ids(t)) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
@@ -62,7 +62,7 @@ def answer(histogram: DataFrame, limits: list[int]) -> DataFrame:
     asked = histogram.sparkSession.createDataFrame([(x,) for x in limits], "limit long")
     row = F.struct("tokens_lt", "docs_ge")
     # the limits are the caller's short list and a join of ranges, not of all lengths with each other
-    above = histogram.join(F.broadcast(asked), histogram.n_tokens > asked.limit, "right").groupBy("limit").agg(F.min_by(row, "n_tokens").alias("next"))
+    above = histogram.join(F.broadcast(asked), histogram["n_tokens"] > asked["limit"], "right").groupBy("limit").agg(F.min_by(row, "n_tokens").alias("next"))
     whole = histogram.agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     ge, lt = F.coalesce("next.docs_ge", F.lit(0)), F.coalesce("next.tokens_lt", "t", F.lit(0))
     kept = lt + F.col("limit") * ge

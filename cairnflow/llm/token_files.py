@@ -20,13 +20,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnflow.llm.bpe import text_batches, worker_cache
+from cairnflow.llm.bpe import text_batches
 from cairnflow.llm.scratch import new_path, scratch_table
-from cairnflow.llm.tokens import word_tokenizer
+from cairnflow.llm.tokens import word_documents, word_tokenizer
 
 MAGIC = b"DACTOKS1"
 NULL_ID = np.iinfo(np.int64).max
@@ -118,21 +119,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
-        tok, cache = word_tokenizer(tokenizer), worker_cache(tokenizer, "packed")
-        end = np.array([end_id], "<u4").tobytes()
+        most = max(end_id, *word_tokenizer(tokenizer).token)
         doc_ids, lengths, data = [], [], []
         for part, texts in text_batches(batches):
-            found = [tok.stretches(t) for t in texts]
-            tok.known(cache, found, lambda ids: ids.astype("<u4").tobytes())
-            raw = [b"".join([cache[s] for s in f]) + end for f in found]
-            doc_ids += [NULL_ID if d is None else d for d in part.column("doc_id").to_pylist()]
-            lengths += [len(r) // 4 for r in raw]
-            data.append(np.frombuffer(b"".join(raw), "<u4").astype(np.uint16 if len(tok.token) <= 65536 and end_id < 65536 else np.uint32))
+            ids, bounds = word_documents(tokenizer, texts)
+            doc_ids.append(pc.fill_null(part.column("doc_id"), NULL_ID).to_numpy())
+            lengths.append(np.diff(bounds) + 1)
+            data.append(np.insert(ids.astype(np.uint16 if most < 65536 else np.uint32), bounds[1:], end_id))
         if doc_ids:
             shard = TaskContext.get().partitionId()
-            ids = np.concatenate(data)
-            _put(path := f"{folder}/shard-{shard:06d}.dac", pack(np.array(doc_ids, np.int64), np.array(lengths, np.int64), ids))
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "docs": len(doc_ids), "tokens": len(ids)}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            ids, every = np.concatenate(data), np.concatenate(doc_ids)
+            _put(path := f"{folder}/shard-{shard:06d}.dac", pack(every, np.concatenate(lengths), ids))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "docs": len(every), "tokens": len(ids)}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -150,8 +148,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with files.open_input_stream(at) as stream:
                     held = TokenFile(stream.read())
                 every = iter(range(len(held.doc_ids)))
-                while ks := list(islice(every, 5_000)):
-                    crc = [zlib.crc32(held.document(k).astype("<u4").tobytes()) for k in ks]
+                while ks := list(islice(every, 1_000)):
+                    first = int(held.starts[ks[0]])
+                    tokens = held.tokens(np.arange(first, held.starts[ks[-1] + 1])).astype("<u4", copy=False)
+                    crc = [zlib.crc32(tokens[held.starts[k] - first : held.starts[k + 1] - first]) for k in ks]
                     ids = [None if d == NULL_ID else d for d in held.doc_ids[ks].tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.int64()), pa.array(held.starts[ks] + start), pa.array(held.starts[np.array(ks) + 1] - held.starts[ks]), pa.array(crc, pa.int64())],

@@ -1,7 +1,7 @@
-"""Word-cached tokenisers on the executors.
+"""Tokenisers on the executors.
 
-Both classes rest on one fact: white space ends a pre-token, so the ids of a stretch between spaces do not
-depend on its neighbours. Each worker keeps the stretches it has met, up to ``CACHE`` of them.
+White space ends a pre-token of a file with word ends, so the ids of a stretch between spaces do not depend on
+its neighbours, and each worker keeps the stretches it has met in a ``Lexicon``.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Entries of a worker's cache; it starts anew when full. About 100 bytes each.
-CACHE = 600_000
+#: Stretches that a worker keeps, about 200 bytes each.
+CACHE = 700_000
 
 
 def byte_chars() -> list[str]:
@@ -121,7 +124,10 @@ class WordTokenizer:
     """
 
     #: white space of Python or of the tokeniser's patterns, but not of both
-    odd = re.compile("[\x1c-\x1f᠎​]")
+    odd = re.compile("[\x1c-\x1f\u180e\u200b]")
+    #: those, and white space other than space and newline
+    rare = re.compile("[\x1c-\x1f\u180e\u200b]|[^\\S \n]")
+    ending = frozenset(".,;:!?|)")
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -137,95 +143,157 @@ class WordTokenizer:
         self.final = np.array([vocab[c + end] for c in chars], np.int32)
         self.bpe = PairIndexBpe(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
+    def spaced(self, text: str) -> str:
+        """The normalised text with single spaces, or runs of them, for all white space."""
+        if "<|" in text or self.rare.search(text):
+            return " ".join(self.stretches(text))
+        return self._normal(text).lower().replace("\n", " ")
+
     def stretches(self, text: str) -> list[str]:
         """The text's parts between white space, normalised; special tokens stand alone as they are."""
         if "<|" in text:
             return [s for k, part in enumerate(self.special_at.split(text)) for s in ([part] if k % 2 else self._plain(part))]
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # its lower case depends on the place in Python, not in the tokeniser
                 text = "".join(map(str.lower, text))
+        return text
+
+    def _plain(self, text: str) -> list[str]:
+        text = self._normal(text)
         if self.odd.search(text):
             return [w for s in regex.split(r"[\p{White_Space}]+", text.lower()) for w in [s] if w]
         return text.lower().split()
 
-    def encode(self, stretches: list[str]) -> list[np.ndarray]:
-        """The ids of each stretch."""
-        found = [[] if s in self.special else self.words.findall(s) for s in stretches]
-        per = np.array([len(w) for w in found], np.int64)
-        data = [w.encode() for ws in found for w in ws]
-        if data:
-            lengths = np.array([len(w) for w in data], np.int64)
-            raw = np.frombuffer(b"".join(data), np.uint8)
-            symbols = self.inner[raw]
-            ends = np.cumsum(lengths) - 1
-            symbols[ends] = self.final[raw[ends]]
-            ids, counts = self.bpe.encode(symbols, lengths)
-            upto = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per)))]
-        else:
-            ids, upto = np.zeros(0, np.int32), np.zeros(len(per) + 1, np.int64)
-        bounds = upto.tolist()
-        return [np.array([self.special[s]], np.int32) if s in self.special else ids[a:b] for s, a, b in zip(stretches, bounds, bounds[1:])]
-
-    def known(self, cache: dict, texts: list[list[str]], value) -> dict:
-        """``cache`` with ``value(ids)`` for every stretch of the texts."""
-        new = list({s for t in texts for s in t if s not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({s for t in texts for s in t})
-        for k in range(0, len(new), 200_000):
-            part = new[k : k + 200_000]
-            cache.update(zip(part, map(value, self.encode(part))))
-        return cache
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stretches, and how many each has."""
+        place: dict[str, int] = {}
+        per, order = [], []  # a word is encoded once, however many stretches hold it
+        for s in stretches:
+            words = self._words(s)
+            per.append(len(words))
+            for w in words:
+                order.append(place.setdefault(w, len(place)))
+        ids, counts = self._merge([b"" if w in self.special else w.encode() for w in place])
+        special = [(k, self.special[w]) for w, k in place.items() if w in self.special]
+        at = np.cumsum(counts) - counts
+        for k, i in special:
+            counts[k], at[k] = 1, len(ids)
+            ids = np.append(ids, np.int32(i))
+        own = np.array(order, np.int64)
+        upto = np.concatenate(([0], np.cumsum(counts[own])))
+        bounds = upto[np.concatenate(([0], np.cumsum(per, dtype=np.int64)))]
+        return gather(ids, at[own], counts[own]), np.diff(bounds)
+
+    def _words(self, stretch: str) -> list[str]:
+        """The pre-tokens; the pattern is not run where it is plain what it finds."""
+        if stretch.isalpha():
+            return [stretch]
+        if stretch in self.special:
+            return [stretch]
+        if stretch[-1:] in self.ending and stretch[:-1].isalpha():
+            return [stretch[:-1], stretch[-1]]
+        return self.words.findall(stretch)
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(w) for w in words], np.int64)
+        if not len(raw):
+            return np.zeros(0, np.int32), lengths
+        symbols = self.inner[raw]
+        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        symbols[ends] = self.final[raw[ends]]
+        ids, counts = self.bpe.encode(symbols, lengths)
+        return ids, counts
+
+
+def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` from each start, one after another."""
+    ends = np.cumsum(length)
+    return values[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class ByteTokenizer:
-    """A byte-level BPE file, by tiktoken's merges over the file's vocabulary; ids equal the tokenizers library's."""
+    """A byte-level BPE file, by tiktoken's merges over the file's vocabulary; ids equal the tokenizers library's
+    encode with add_special_tokens=False, the texts of special tokens included."""
 
     def __init__(self, path: str):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
-        at = {c: b for b, c in enumerate(byte_chars())}
-        self.special = _special_ids(spec)
-        self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        ranks = {bytes(at[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        at, special = {c: b for b, c in enumerate(byte_chars())}, _special_ids(spec)
+        ranks = {bytes(at[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         # the byte-level pre-tokeniser's own pattern
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-
-    def _run(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
+        self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 16-bit integers."""
+    def ids(self, text: str) -> np.ndarray:
         if "<|" in text:
-            parts = self.special_at.split(text)
-            return b"".join(np.array([self.special[p]], "<u2").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
-        return self._plain(text)
+            return self.bpe.encode_to_numpy(text, allowed_special="all")
+        return self.bpe.encode_to_numpy(text, disallowed_special=())
+
 
-    def _plain(self, text: str) -> bytes:
-        """A single space before other characters starts a pre-token, so the text falls apart there."""
-        if not text:
-            return b""
-        if "  " in text:
-            return self._run(text)  # a run of spaces is a pre-token of its own
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        parts = text.split(" ")
-        out = [self._run(parts[0])]
-        for p in parts[1:]:
-            got = cache.get(p)
-            if got is None:
-                got = cache[p] = self._run(" " + p)
-            out.append(got)
-        return b"".join(out)
+class Lexicon:
+    """The ids of the stretches that a worker has met.
+
+    Texts of a batch are split and numbered by Arrow, so that Python looks at each distinct stretch once; the ids
+    are then gathered for all of them together. When over ``CACHE`` stretches are held, those met once are dropped.
+    """
+
+    def __init__(self, encode):
+        self.encode_new = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.length, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def _trim(self) -> None:
+        kept = [(w, k) for w, k in self.slot.items() if self.uses[k] > 1]
+        if len(kept) > CACHE // 2:
+            kept = []
+        own = np.array([k for _, k in kept], np.int64)
+        ids, lengths = gather(self.ids, self.start[own], self.length[own]), self.length[own]
+        self._clear()
+        self._add([w for w, _ in kept], ids, lengths)
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, at, total = len(words), len(self.slot), len(ids)
+        while at + n > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.uses))
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + n] = lengths
+        self.ids[self.used : self.used + total] = ids
+        self.used += total
+        self.slot.update(zip(words, range(at, at + n)))
+
+    def slots(self, words: pa.StringArray) -> np.ndarray:
+        """The number of each word, new ones encoded."""
+        coded = words.dictionary_encode()
+        entries = coded.dictionary.to_pylist()
+        if len(self.slot) > CACHE:
+            self._trim()
+        new = [w for w in entries if w not in self.slot]
+        for k in range(0, len(new), 200_000):
+            self._add(new[k : k + 200_000], *self.encode_new(new[k : k + 200_000]))
+        own = np.fromiter(map(self.slot.__getitem__, entries), np.int64, len(entries))
+        self.uses[own] += 1
+        return own[coded.indices.to_numpy()] if len(entries) else np.zeros(0, np.int64)
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts whose stretches stand between single spaces, and the bounds of each text's."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = self.slots(parts.flatten())
+        upto = parts.offsets.to_numpy().astype(np.int64)
+        upto = upto - upto[0]
+        return gather(self.ids, self.start[at], self.length[at]), np.concatenate(([0], np.cumsum(self.length[at])))[upto]
 
 
 @lru_cache(maxsize=4)
@@ -236,3 +304,13 @@ def word_tokenizer(path: str) -> WordTokenizer:
 @lru_cache(maxsize=4)
 def byte_tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
+
+
+@lru_cache(maxsize=4)
+def word_lexicon(path: str) -> Lexicon:
+    return Lexicon(word_tokenizer(path).encode)
+
+
+def word_documents(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts by a file with word ends, and the bounds of each text's."""
+    return word_lexicon(path).documents(list(map(word_tokenizer(path).spaced, texts)))
