@@ -109,27 +109,29 @@ def _terms(line: Column) -> Column:
 def disclosing_terms(texts: DataFrame, entities: DataFrame, support: int, generalise: float, remove: float, most_broadcast: int) -> DataFrame:
     """term, degree (the largest over the entities), kind: the terms that reveal an entity.
 
-    ``texts``: text of all rows; ``entities``: text and base of those with personal data. A term counts if it
-    shares ``support`` distinct lines with the entity: fewer say nothing about it, and copies of a line are one.
+    ``texts``: text of all rows; ``entities``: text and base of those with personal data. All lines count, copies
+    too, but a term is only judged if it shares ``support`` different lines with the entity: fewer say nothing.
     """
     # lines with entities: the values are cut out, so that their own letters are no terms
     lines = _lines(entities, "base").withColumn("own", F.filter("base", lambda x: F.contains(F.col("line"), x["value"]))).filter(F.size("own") > 0)
     bare = F.aggregate("own", F.col("line"), lambda acc, x: F.replace(acc, x["value"], F.lit(" ")))
-    held = lines.select("line_id", F.explode(F.array_distinct(F.transform("own", lambda x: F.concat_ws(":", x["kind"], x["value"])))).alias("entity"), bare.alias("line"))
-    held = scratch_table(held.dropDuplicates(["entity", "line_id"]), "entity_lines")
-    of_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
-    pairs = held.join(of_entity, "entity").select("entity", "n_c", F.explode(_terms(F.col("line"))).alias("term"))
-    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
-    pairs = scratch_table(pairs, "pairs")
+    named = F.array_distinct(F.transform("own", lambda x: F.concat_ws(":", x["kind"], x["value"])))
+    held = lines.select("line_id", F.explode(named).alias("entity"), bare.alias("line"))
+    held = scratch_table(held.groupBy("entity", "line_id").agg(F.count(F.lit(1)).alias("m"), F.min("line").alias("line")), "entity_lines")
+    of_entity = held.groupBy("entity").agg(F.sum("m").alias("n_c"), F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= support)
+    pairs = held.join(of_entity, "entity").select("entity", "n_c", "m", F.explode(_terms(F.col("line"))).alias("term"))
+    pairs = pairs.groupBy("entity", "n_c", "term").agg(F.sum("m").alias("n_ct"), F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= support)
+    pairs = scratch_table(pairs.select("entity", "n_c", "term", "n_ct"), "pairs")
     wanted = scratch_table(pairs.select("term").distinct(), "terms")
     n_terms = wanted.count()
     if not n_terms:
         return pairs.select("term", F.lit(0.0).alias("degree"), F.lit("").alias("kind")).limit(0)
     small = F.broadcast(wanted) if n_terms <= most_broadcast else wanted
-    hits = _lines(texts).select("line_id", F.explode(_terms(F.col("line"))).alias("term")).join(small, "term")
-    of_term = hits.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = _lines(texts).agg(F.approx_count_distinct("line_id", 0.01)).first()[0]
-    total = F.greatest(F.lit(float(n)), F.col("n_t").cast("double"), F.col("n_c") + 1.0)
+    # counts of terms are summed in each task before they are shuffled
+    hits = _lines(texts).select(F.explode(_terms(F.col("line"))).alias("term")).join(small, "term")
+    of_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n = texts.agg(F.sum(F.size(F.split("text", r"\n")))).first()[0]
+    total = F.greatest(F.lit(float(n)), F.col("n_c") + 1.0)
     pmi = F.log(F.col("n_ct") * total / (F.col("n_c").cast("double") * F.col("n_t")))
     degrees = pairs.join(of_term, "term").groupBy("term").agg(F.max(pmi / F.log(total / F.col("n_c"))).alias("degree"))
     kind = F.when(F.col("degree") >= remove - 1e-9, TERM_KINDS[0]).when(F.col("degree") >= generalise, TERM_KINDS[1])
@@ -139,8 +141,7 @@ def disclosing_terms(texts: DataFrame, entities: DataFrame, support: int, genera
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 1.0, most_broadcast: int = 200_000) -> DataFrame:
     """doc_id, text, base, spans (base and terms in order) of each row of ``docs``, whole texts.
 
-    Null texts are empty and have no spans. Repeated rows give repeated results; copies of a line count once in
-    the statistics. An empty table gives an empty result, other columns are not read. Tables of terms are broadcast
+    Null texts are empty and have no spans. Repeated rows give repeated results. An empty table gives an empty result, other columns are not read. Tables of terms are broadcast
     up to ``most_broadcast`` terms and joined by shuffle beyond.
     """
     found = find_base(docs, id_col, text_col)
