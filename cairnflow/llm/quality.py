@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm.bpe import text_batches
 
+#: Characters whose features a worker holds at a time, some 30 bytes each.
+CHARS = 2_000_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "bang", "bar", "quote", "symbol", "other")
 N_FEATURES = 19
 
@@ -186,7 +188,7 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = 4_000, lines: int
     counts = dict(known.groupBy("_label").count().collect())
 
     def features(batches):
-        for part, texts in text_batches(batches):
+        for part, texts in text_batches(batches, chars=CHARS):
             cut = ["\n".join(t.split("\n", lines)[:lines]) for t in texts]
             x, size, per = line_features(cut)
             at = np.cumsum(per) - per
@@ -211,7 +213,7 @@ def score_documents(docs: DataFrame, field: LineField, id_col: str = "doc_id", t
     line. Repeated rows give repeated results, an empty table an empty one; other columns are not read."""
 
     def run(batches):
-        for part, texts in text_batches(batches):
+        for part, texts in text_batches(batches, chars=CHARS):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(field.scores(texts), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -224,7 +226,7 @@ def keep_good(docs: DataFrame, field: LineField, text_col: str = "text", thresho
 
     def run(batches):
         for batch in batches:
-            scores = np.concatenate([np.zeros(0)] + [field.scores(texts) for _, texts in text_batches([batch], text_col)])
+            scores = np.concatenate([np.zeros(0)] + [field.scores(texts) for _, texts in text_batches([batch], text_col, chars=CHARS)])
             yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
