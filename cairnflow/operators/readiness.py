@@ -5,6 +5,7 @@ Observations: process_id, observed_at, diverged, severity. Times are given, neve
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,16 +140,24 @@ def quota(allocations: DataFrame, remaining: int | None) -> DataFrame:
 def admit(requests: DataFrame, shares: DataFrame) -> DataFrame:
     """Which requests (process_id, seq, cost) a process's budget admits, in order; a refused one costs nothing.
 
-    The budget is folded over a process's requests in one pass, by higher-order functions on an array sorted by
-    seq; unit costs would need no fold."""
-    ordered = requests.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("seq", "cost"))).alias("rs")).join(shares.select("process_id", F.col("remaining_for").alias("budget")), "process_id", "left")
-    start = F.struct(F.coalesce("budget", F.lit(0)).cast("long").alias("left"), F.array().cast("array<struct<seq:bigint,admitted:boolean>>").alias("out"))
-
-    def step(acc, r):
-        ok = r["cost"] <= acc["left"]
-        return F.struct((acc["left"] - F.when(ok, r["cost"]).otherwise(0)).alias("left"), F.concat(acc["out"], F.array(F.struct(r["seq"].cast("long").alias("seq"), ok.alias("admitted")))).alias("out"))
-
-    return ordered.select("process_id", F.inline(F.aggregate("rs", start, step, lambda a: a["out"])))
+    Rows are sorted by process and seq (ties by cost) and met one by one, so a task holds a batch and one budget
+    however many requests a process has. A process without a share has none; a null cost has no decision."""
+    placed = requests.join(shares.select("process_id", F.col("remaining_for").alias("budget")), "process_id", "left")
+    rows = placed.select("process_id", F.col("seq").cast("long").alias("seq"), "cost", F.coalesce("budget", F.lit(0)).cast("long").alias("budget"))
+
+    def run(batches):
+        held, left = None, 0
+        for batch in batches:
+            out = []
+            for process, cost, budget in zip(*(batch.column(c).to_pylist() for c in ("process_id", "cost", "budget"))):
+                if held != (process,):
+                    held, left = (process,), budget
+                out.append(None if cost is None else cost <= left)
+                left -= cost if out[-1] else 0
+            yield pa.RecordBatch.from_arrays([batch.column("process_id"), batch.column("seq"), pa.array(out, pa.bool_())], ["process_id", "seq", "admitted"])
+
+    kind = rows.schema["process_id"].dataType.simpleString()
+    return rows.repartition("process_id").sortWithinPartitions("process_id", "seq", "cost").mapInArrow(run, f"process_id {kind}, seq long, admitted boolean")
 
 
 def admit_units(requests: DataFrame, shares: DataFrame) -> DataFrame:

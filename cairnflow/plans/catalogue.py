@@ -210,6 +210,14 @@ def quota_sequential(spark, requests, alloc):
 
 
 SQL["quota_sequential"] = SQL["quota_sequential"].replace("WITH requests", "WITH RECURSIVE requests", 1)
+
+
+@query(None, "requests", "alloc")
+def quota_sequential_all(spark, requests, alloc):
+    """``quota_sequential`` over every request; recursive SQL can only hold the share that its oracle keeps."""
+    return readiness.admit(requests.groupBy("process_id", "seq").agg(F.max("cost").alias("cost")), readiness.quota(alloc, 300))
+
+
 _SAGA = """g AS (SELECT DISTINCT ON (saga_id, seq) * FROM saga ORDER BY saga_id, seq, kind, has_fn, raises), o AS (SELECT *, coalesce(bool_or(kind = 'requires_human') OVER (PARTITION BY saga_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM g),
     r AS (SELECT saga_id, seq, kind, CASE WHEN stopped THEN 'pending' WHEN kind = 'requires_human' THEN 'paused' WHEN kind = 'log_only' THEN 'ok' WHEN NOT has_fn OR raises THEN 'failed' ELSE 'ok' END AS outcome FROM o)"""
 

@@ -105,6 +105,35 @@ def test_log(spark):
     assert (t.n_events, t.n_dml, t.failures, t.flows, t.user_id) == (8, 1, ["Email_Required"], ["LeadRouting"], "005000000000001")
 
 
+def admitted(requests, budgets):
+    """Plain fold of (process_id, seq, cost) over each process's budget."""
+    left, out = dict(budgets), {}
+    for process, seq, cost in sorted(requests):
+        out[process, seq] = cost <= left.get(process, 0)
+        left[process] = left.get(process, 0) - cost * out[process, seq]
+    return out
+
+
+def test_every_request_is_decided(spark, sf):
+    from cairnflow.plans import catalogue
+    from cairnflow.sources.views import view
+
+    most = {}
+    for r in view(spark, sf, "requests").collect():
+        most[r.process_id, r.seq] = max(most.get((r.process_id, r.seq), 0), r.cost)
+    budgets = {r.process_id: r.remaining_for for r in readiness.quota(view(spark, sf, "alloc"), 300).collect()}
+    got = {(r.process_id, r.seq): r.admitted for r in catalogue.QUERIES["quota_sequential_all"](spark, sf).collect()}
+    assert got == admitted([(*k, c) for k, c in most.items()], budgets) and len(set(got.values())) == 2
+
+
+def test_requests_of_a_hot_process(spark):
+    rows = [("hot", k * 7919 % 100_003, k % 7 + 1) for k in range(100_000)] + [("cold", 1, 5), ("none", 2, 1)]
+    shares = spark.createDataFrame([("hot", 90_000), ("cold", 4)], "process_id string, remaining_for long")
+    found = readiness.admit(spark.createDataFrame(rows, "process_id string, seq long, cost long"), shares).collect()
+    got = {(r.process_id, r.seq): r.admitted for r in found}
+    assert len(found) == len(rows) and got == admitted(rows, {"hot": 90_000, "cold": 4})
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "src long, dst long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
