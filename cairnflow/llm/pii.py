@@ -1,13 +1,15 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions alone.
 
 Personal data of four kinds is found by pattern; each distinct value is a protected entity. Removing the value
-is not enough where other words give it away, so the corpus is asked how much they do. Lines are the events:
-with N distinct lines, ``p(x)`` the share of them that hold x, a term t reveals an entity c to the degree
+is not enough where other words give it away, so the corpus is asked how much they do. Distinct lines are the
+events: with N of them, ``p(x)`` the share of them that hold x, and ``p(c, t)`` the share that hold entity c with
+term t in the line or next to it, or (if fewer) t with c in the line or next to it, t reveals c to the degree
 
     PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c)
 
-which is 1 if t occurs with c alone, and 0 if they are independent. Terms of at least ``remove`` are removed,
-those of at least ``generalise`` are replaced by a general word, everywhere in the corpus.
+which is 1 if t occurs with c alone, and 0 if they are independent. Every entity is judged with every term around
+it; a degree counts if so many common lines are no chance. Terms of at least ``remove`` are removed, those of at
+least ``generalise`` are replaced by a general word, everywhere in the corpus.
 """
 
 from __future__ import annotations
@@ -138,17 +140,85 @@ def disclosing_terms(texts: DataFrame, entities: DataFrame, support: int, genera
     return degrees.withColumn("kind", kind).filter("kind is not null")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 1.0, most_broadcast: int = 200_000) -> DataFrame:
+def judged_pairs(entities: DataFrame) -> DataFrame:
+    """entity, n_c, term, n_ct: every entity with every term in or next to its lines, counted by distinct lines."""
+    # the values are cut out, so that their own letters are no terms
+    bare = F.aggregate("base", F.col("text"), lambda acc, x: F.replace(acc, x["value"], F.lit(" ")))
+    name = lambda x: F.concat_ws(":", x["kind"], x["value"])
+    named = lambda line: F.array_distinct(F.transform(F.filter("base", lambda x: F.contains(line, x["value"])), name))
+    raw = F.split("text", r"\n")
+    rows = entities.select(raw.alias("line"), F.transform(F.split(bare, r"\n"), _terms).alias("terms"), F.transform(raw, named).alias("names"))
+    none, n = F.array(F.array().cast("array<string>")), F.size("line")
+    sides = [x for c in ("terms", "names") for x in (F.concat(none, F.slice(c, 1, n - 1)).alias(f"{c}_before"), F.concat(F.slice(c, 2, n), none).alias(f"{c}_after"))]
+    lines = rows.select(F.explode(F.arrays_zip("line", "terms", "names", *sides)).alias("x"))
+    near = [F.array_distinct(F.concat(f"x.{c}", f"x.{c}_before", f"x.{c}_after")).alias(f"{c}_near") for c in ("terms", "names")]
+    held = lines.select(F.xxhash64("x.line").alias("line_id"), "x.terms", "x.names", *near).filter(F.size("names_near") > 0)
+    held = scratch_table(held.distinct(), "entity_lines")
+
+    def shared(names: str, terms: str, n: str) -> DataFrame:
+        each = held.select("line_id", F.explode(names).alias("entity"), terms).select("line_id", "entity", F.explode(terms).alias("term"))
+        return each.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias(n))
+
+    of_entity = held.select("line_id", F.explode("names").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    pairs = shared("names", "terms_near", "n1").join(shared("names_near", "terms", "n2"), ["entity", "term"])
+    return pairs.join(of_entity, "entity").select("entity", "n_c", "term", F.least("n1", "n2").alias("n_ct"))
+
+
+def _surprise(n: Column, n_c: Column, n_ct: Column, n_t: Column) -> Column:
+    """Minus the log of Chernoff's bound on the chance that ``n_ct`` or more of ``n_c`` lines meet ``n_t`` of ``n``."""
+    apart, missing = n_c - n_ct, n - n_t
+    rest = F.when((apart > 0) & (missing > 0), apart * F.log(apart * n / (n_c * missing))).otherwise(0.0)
+    return F.when(n_ct * n > n_c * n_t, n_ct * F.log(n_ct * n / (n_c * n_t)) + rest).otherwise(0.0)
+
+
+def revealing_terms(texts: DataFrame, entities: DataFrame, support: int, generalise: float, remove: float, most_broadcast: int, chance: float = 0.05) -> DataFrame:
+    """term, degree (the largest over the entities it goes with beyond chance), kind: the terms that reveal an entity.
+
+    ``texts``: text of all rows; ``entities``: text and base of those with personal data. ``chance`` bounds the
+    probability that any of the pairs passes by accident (Bonferroni). Terms that no count could make pass are left
+    out of the count, first by the entity's own lines, then by 512 bits a term, of which each one set is a line more.
+    """
+    pairs = scratch_table(judged_pairs(entities).filter(F.col("n_ct") >= support), "pairs")
+    m = pairs.count()
+    if not m:
+        return pairs.select("term", F.lit(0.0).alias("degree"), F.lit("").alias("kind")).limit(0)
+    n = float(_lines(texts).select("line_id").distinct().count())
+    # a term is met in its line and next to it: so many lines for each of its own
+    size = F.size(F.split("text", r"\n"))
+    reach = F.lit(texts.agg(F.sum(3 * size - 2) / F.sum(size)).first()[0])
+    total, least = F.greatest(F.lit(n), F.col("n_c") + 1.0), F.log(F.lit(m / chance))
+    possible = pairs.filter(_surprise(total, F.col("n_c"), F.col("n_ct"), F.col("n_ct") * reach) >= least)
+    upto = F.col("n_ct") * F.pow(total / F.col("n_c"), F.lit(1.0 - generalise)) * (1 + 1e-6)
+    wanted = scratch_table(possible.groupBy("term").agg(F.max(upto).alias("upto")), "terms")
+    small = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
+    held = _lines(texts).select("line_id", F.explode(_terms(F.col("line"))).alias("term"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("line_id", 3), F.lit(64)).cast("int"))
+    words = [F.bit_or(F.when(F.pmod("line_id", F.lit(8)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(8)]
+    seen = held.join(small.select("term"), "term").groupBy("term").agg(*words)
+    at_least = reduce(lambda x, y: x + y, (F.bit_count(f"b{k}") for k in range(8)))
+    rare = scratch_table(seen.select("term", at_least.alias("n")).join(wanted, "term").filter("n <= upto").select("term"), "rare_terms")
+    few = F.broadcast(rare) if rare.count() <= most_broadcast else rare
+    of_term = held.join(few, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = possible.join(of_term, "term").withColumn("n_t", F.greatest("n_t", "n_ct"))
+    sure = counted.filter(_surprise(total, F.col("n_c"), F.col("n_ct"), F.col("n_t") * reach) >= least)
+    pmi = F.log(F.col("n_ct") * total / (F.col("n_c").cast("double") * F.col("n_t")))
+    degrees = sure.groupBy("term").agg(F.max(pmi / F.log(total / F.col("n_c"))).alias("degree"))
+    kind = F.when(F.col("degree") >= remove - 1e-9, TERM_KINDS[0]).when(F.col("degree") >= generalise, TERM_KINDS[1])
+    return degrees.withColumn("kind", kind).filter("kind is not null")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 1, generalise: float = 0.9, remove: float = 1.0, most_broadcast: int = 200_000) -> DataFrame:
     """doc_id, text, base, spans (base and terms in order) of each row of ``docs``, whole texts.
 
     Null texts are empty and have no spans. Repeated rows give repeated results. An empty table gives an empty result, other columns are not read. Tables of terms are broadcast
-    up to ``most_broadcast`` terms and joined by shuffle beyond.
+    up to ``most_broadcast`` terms and joined by shuffle beyond. ``support`` above 1 leaves out pairs that share
+    fewer lines.
     """
     found = find_base(docs, id_col, text_col)
     # rows with personal data are a small part of a corpus, and their texts are needed once more
     with_data = scratch_table(found.filter(F.size("base") > 0), "with_data")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    terms = scratch_table(disclosing_terms(texts, with_data, support, generalise, remove, most_broadcast), "disclosing")
+    terms = scratch_table(revealing_terms(texts, with_data, support, generalise, remove, most_broadcast), "disclosing")
     n = terms.count()
     if not n:
         return found.withColumn("spans", F.col("base"))

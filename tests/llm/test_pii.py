@@ -96,6 +96,76 @@ def test_terms(make):
         assert spans_[30] == "term_generalised:0:9" and spans_[10] == "" and spans_[32] == "" and spans_[31] == ""
 
 
+def reveal(rows, generalise=0.9, chance=0.05):
+    """term: degree, from distinct lines and the pairs that are in or next to each other's lines beyond chance."""
+    words = lambda s: {w for w in re.split(r"[\W\d_]+", s.lower()) if len(w) >= 3}
+    of_c, by_c, by_t, sizes = {}, {}, {}, []
+    for _, t in rows:
+        raw, bare = (t or "").split("\n"), t or ""
+        own = {t[a:b] for a, _, b, _ in spans(t)}
+        for v in own:
+            bare = bare.replace(v, " ")
+        bare = [words(x) for x in bare.split("\n")]
+        sizes.append(len(raw))
+        for k, line in enumerate(raw):
+            for v in own:
+                if v in line:
+                    of_c.setdefault(v, set()).add(line)
+                for j in range(max(k - 1, 0), min(k + 2, len(raw))):
+                    for w in bare[j] if v in line else ():
+                        by_c.setdefault((v, w), set()).add(line)
+                        by_t.setdefault((v, w), set()).add(raw[j])
+    lines = {x for _, t in rows for x in (t or "").split("\n")}
+    n, out, reach = len(lines), {}, sum(3 * x - 2 for x in sizes) / sum(sizes)
+    for (v, w), near in by_c.items():
+        c, ct, t = len(of_c[v]), min(len(near), len(by_t[v, w])), sum(w in words(x) for x in lines)
+        p, q, degree = ct / c, reach * t / n, math.log(ct * n / (c * t)) / math.log(n / c)
+        bound = c * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)) if p > q else 0
+        if bound >= math.log(len(by_c) / chance) and degree >= generalise:
+            out[w] = max(out.get(w, 0), degree)
+    return out
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def two_line_corpus():
+    rows = [(k, f"note {k}\nDear Zephyrine, this {p}\nwrite to bob@x.org for {p}\nbye {p}") for k, p in enumerate(["noon", "dusk"])]
+    other = [(10 + k, f"the other line {LETTERS[k // 26]}{LETTERS[k % 26] * 4}\nwrite for bye dear nothing this {LETTERS[k % 26] * 3}{LETTERS[k // 26]}") for k in range(300)]
+    return rows + other
+
+
+def revealed(make, rows, most=100, **options):
+    found = pii.find_base(make(rows), "doc_id", "text")
+    texts = make(rows).selectExpr("coalesce(text, '') AS text")
+    return {r.term: r.degree for r in pii.revealing_terms(texts, found.filter("size(base) > 0"), 1, options.get("generalise", 0.9), 1.0, most).collect()}
+
+
+def test_entities_in_two_lines_and_names_next_to_them(make):
+    rows = two_line_corpus()
+    want = reveal(rows)
+    assert set(want) == {"zephyrine"}
+    for most in (100, 0):
+        assert revealed(make, rows, most) == {t: pytest.approx(d) for t, d in want.items()}
+    text = {r.doc_id: r.text for r in pii.sanitise(make(rows)).collect()}
+    assert text[0] == "note 0\nDear , this noon\nwrite to [EMAIL] for noon\nbye noon"
+
+
+def test_revealing_terms_count(make):
+    r = random.Random(5)
+    names = ["ann", "bea", "cyd", "dot"]
+    filler = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(3))
+    rows = []
+    for k in range(300):
+        who = names[k % 4]
+        lines = [f"{filler()} {k}", f"{who}son {filler()}" if r.random() < 0.8 else filler(), f"ask {who}@x.org {k % 9}" if k % 5 == 0 else filler()]
+        rows.append((k, "\n".join(lines)))
+    for generalise in (0.9, 0.3):
+        want = reveal(rows, generalise)
+        assert revealed(make, rows, generalise=generalise) == {t: pytest.approx(d) for t, d in want.items()}
+    assert want
+
+
 def test_sanitise(make):
     docs = make(corpus()).selectExpr("*", "99 AS n_chars")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.sanitise(docs, generalise=0.8).collect()}
