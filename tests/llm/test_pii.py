@@ -166,6 +166,13 @@ def test_revealing_terms_count(make):
     assert want
 
 
+def test_copies_of_a_line_decide_nothing(make):
+    rows = [(k, f"ask bob@x.org today {w}") for k, w in enumerate(["noon", "dusk", *["dawn"] * 300])]
+    rows += [(1000 + k, f"today {LETTERS[k] * 4}") for k in range(20)] + [(2000 + k, f"other {LETTERS[k % 26] * 3}{LETTERS[k // 26] * 4}") for k in range(380)]
+    got = {r.doc_id: r.text for r in pii.sanitise(make(rows)).collect()}
+    assert got[1003] == "today dddd" and "today" in got[0]
+
+
 def test_sanitise(make):
     docs = make(corpus()).selectExpr("*", "99 AS n_chars")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.sanitise(docs, generalise=0.8).collect()}
