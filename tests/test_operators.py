@@ -140,6 +140,21 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_graph_queries_take_every_edge(spark, sf):
+    from cairnflow.plans import catalogue
+    from cairnflow.sources.views import view
+
+    edges = {(r.l_partkey, r.l_partkey + r.l_linenumber) for r in view(spark, sf, "lineitem").select("l_partkey", "l_linenumber").collect()}
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in catalogue.QUERIES["graph_components_all"](spark, sf).collect()}
+    assert got == label and len(label) > 10 * len(set(label.values()))
+    assert {r.node for r in catalogue.QUERIES["graph_communities"](spark, sf).collect()} == set(label)
+    assert catalogue.QUERIES["business_processes"](spark, sf).agg(F.sum("size")).first()[0] == len(label)
+
+
 def test_communities_of_two_cliques(spark):
     cliques = [(a, b) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
     got = {r.node: r.community for r in graph.communities(spark.createDataFrame([*cliques, (0, 10)], "src long, dst long"), rounds=20).collect()}
