@@ -22,7 +22,7 @@ from cairnflow.llm.bpe import text_batches
 from cairnflow.llm.scratch import scratch_table
 from cairnflow.llm.tokens import byte_tokenizer
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<int>"
 
 
 class Rounds:
@@ -107,8 +107,8 @@ def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, tex
 
 
 def pack_mixture(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000) -> DataFrame:
-    """Pack every id of ``docs`` into sequences of ``size``; one row a piece: doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset, source.
+    """Pack every id of ``docs`` into sequences of ``size``; one row a piece: doc_id, start, length, ids_crc32
+    (of its ids as 32-bit numbers), doc_tokens, sequence_id, offset, source, ids. A sequence is its pieces' ids by offset.
 
     Each window holds each source in its share of all tokens, to within rounding that is carried on. Null texts
     are empty and consist of the end id; a null source is the queue ''. Repeated rows are packed as often as they
@@ -130,7 +130,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     number, lengths = {r.source: k for k, r in enumerate(totals)}, [r.n for r in totals]
 
     def run(batches):
-        rounds, out = Rounds(lengths, size), []
+        rounds, out, held = Rounds(lengths, size), [], 0
         for batch in batches:
             for doc, source, raw, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "at"))):
                 s, n, done = number[source], len(raw) // 2, 0
@@ -142,12 +142,13 @@ def pack_mixture(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
                     if here > 0:
                         offset = int((after[:s] - before[:s]).sum()) + at + done - int(before[s])
                         for sequence, begin, length in rounds.place(w, offset, here):
-                            out.append((doc, done, length, zlib.crc32(data[done : done + length]), n, sequence, begin, source))
-                            done += length
+                            piece = data[done : done + length]
+                            out.append((doc, done, length, zlib.crc32(piece), n, sequence, begin, source, piece))
+                            done, held = done + length, held + length
                     w += 1
-                if len(out) > 50_000:
-                    yield _batch(out)
-                    out = []
+                    if len(out) > 50_000 or held > 1_000_000:
+                        yield _batch(out)
+                        out, held = [], 0
         yield _batch(out)
 
     return placed.mapInArrow(run, PIECES)
@@ -155,6 +156,8 @@ def pack_mixture(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.string() if n == "source" else pa.int64() for n in names]
-    columns = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    kinds = [pa.string() if n == "source" else pa.int64() for n in names[:-1]]
+    *columns, ids = list(zip(*rows)) if rows else [()] * len(names)
+    ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+    pieces = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pieces], names)

@@ -29,7 +29,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_mixture(table(spark, sf_dir, "documents"), BYTE)
+    return packing.pack_mixture(table(spark, sf_dir, "documents"), BYTE).drop("ids")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

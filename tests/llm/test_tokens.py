@@ -155,6 +155,17 @@ def test_packing(spark, byte):
     assert packing.pack_mixture(docs.limit(0), BYTE).count() == 0
 
 
+def test_packed_sequences_hold_their_tokens(spark, byte):
+    rows = [(k, t, f"s{k % 3}") for k, t in ROWS if k is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {k: [*byte.encode(t or "", add_special_tokens=False).ids, 1] for k, t, _ in rows}
+    sequences = Counter()
+    for r in packing.pack_mixture(docs, BYTE, size=256).collect():
+        assert r.ids == want[r.doc_id][r.start : r.start + r.length] and len(r.ids) == r.length
+        sequences[r.sequence_id] += len(r.ids)
+    assert sum(sequences.values()) == sum(len(want[k]) for k, _, _ in rows) and sequences[0] == 256
+
+
 def test_too_many_sources(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, source string")
     with pytest.raises(ValueError, match="sources"):
