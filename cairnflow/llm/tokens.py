@@ -11,7 +11,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import regex
 
 #: Stretches that a worker keeps, about 200 bytes each.
 CACHE = 700_000
+#: Ids below this have a square table of ranks.
+LOW = 1024
 
 
 def byte_chars() -> list[str]:
@@ -51,9 +53,15 @@ class PairIndexBpe:
         self.left = np.array([p >> 20 for p, _ in pairs], np.int32)
         self.right = np.array([p & (1 << 20) - 1 for p, _ in pairs], np.int32)
         self.merged = np.array([m for _, m in pairs], np.int32)
+        # ranks of pairs of low ids, among them the single bytes, by place
+        self.low = np.full((LOW, LOW), -1, np.int32)
+        few = (self.left < LOW) & (self.right < LOW)
+        self.low[self.left[few], self.right[few]] = np.flatnonzero(few)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The pairs' ranks, -1 where they do not merge."""
+        if len(left) > LOW and max(left.max(), right.max()) < LOW:
+            return np.where((left >= 0) & (right >= 0), self.low[left, right], -1)
         code = left.astype(np.int64) << 20 | right
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where((self.code[at] == code) & (left >= 0) & (right >= 0), self.rank[at], -1)
@@ -74,15 +82,13 @@ class PairIndexBpe:
 
         def post(at: np.ndarray, rank: np.ndarray) -> None:
             keep = rank >= 0
-            at, rank = at[keep], rank[keep]
-            if not len(at):
+            both = np.sort(rank[keep].astype(np.int64) << 40 | at[keep])
+            if not len(both):
                 return
-            order = np.argsort(rank, kind="stable")
-            at, rank = at[order], rank[order]
+            at, rank = both & (1 << 40) - 1, both >> 40
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            first = rank[np.concatenate(([0], cuts))].tolist()
             bounds = [0, *cuts.tolist(), len(at)]
-            for k, r in enumerate(first):
+            for k, r in enumerate(rank[bounds[:-1]].tolist()):
                 if r not in lists:
                     lists[r] = []
                     heapq.heappush(heap, r)
@@ -97,7 +103,7 @@ class PairIndexBpe:
             at = at[(sym[at] == a) & (sym[nxt[at]] == b)]
             if a == b and len(at) > 1:  # of overlapping pairs the left one wins
                 taken, last = [], -1
-                for p in np.sort(at).tolist():
+                for p in at.tolist():
                     if p != last:
                         taken.append(p)
                         last = nxt[p]
@@ -126,7 +132,10 @@ class WordTokenizer:
     #: white space of Python or of the tokeniser's patterns, but not of both
     odd = re.compile("[\x1c-\x1f\u180e\u200b]")
     #: those, and white space other than space and newline
-    rare = re.compile("[\x1c-\x1f\u180e\u200b]|[^\\S \n]")
+    rare = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000")
+    rare_ascii = rare[:8]
+    #: here the signs that end a stretch are a pre-token of their own ("|" is left out for the special tokens)
+    last_signs = r"([a-zà-öø-ÿ])([!-/:-@\[-`{}~]+) "
     ending = frozenset(".,;:!?|)")
 
     def __init__(self, path: str):
@@ -145,7 +154,7 @@ class WordTokenizer:
 
     def spaced(self, text: str) -> str:
         """The normalised text with single spaces, or runs of them, for all white space."""
-        if "<|" in text or self.rare.search(text):
+        if "<|" in text or any(c in text for c in (self.rare_ascii if text.isascii() else self.rare)):
             return " ".join(self.stretches(text))
         return self._normal(text).lower().replace("\n", " ")
 
@@ -157,8 +166,11 @@ class WordTokenizer:
 
     def _normal(self, text: str) -> str:
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+            try:
+                text.encode("latin-1")  # characters below U+0300 are composed already
+            except UnicodeEncodeError:
+                if not unicodedata.is_normalized("NFC", text):
+                    text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # its lower case depends on the place in Python, not in the tokeniser
                 text = "".join(map(str.lower, text))
         return text
@@ -171,22 +183,34 @@ class WordTokenizer:
 
     def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all stretches, and how many each has."""
-        place: dict[str, int] = {}
-        per, order = [], []  # a word is encoded once, however many stretches hold it
-        for s in stretches:
-            words = self._words(s)
-            per.append(len(words))
-            for w in words:
+        plain = np.fromiter(map(str.isalpha, stretches), bool, len(stretches))
+        if plain.all():
+            return self._merge(stretches)
+        rest = list(compress(stretches, ~plain))
+        per, words = [], list(compress(stretches, plain))
+        place = {w: k for k, w in enumerate(words)}  # a word is encoded once, however many stretches hold it
+        order = []
+        for s in rest:
+            own = self._words(s)
+            per.append(len(own))
+            for w in own:
                 order.append(place.setdefault(w, len(place)))
-        ids, counts = self._merge([b"" if w in self.special else w.encode() for w in place])
-        special = [(k, self.special[w]) for w, k in place.items() if w in self.special]
+        words = list(place)
+        ids, counts = self._merge(["" if w in self.special else w for w in words] if any(w in self.special for w in rest) else words)
         at = np.cumsum(counts) - counts
-        for k, i in special:
-            counts[k], at[k] = 1, len(ids)
-            ids = np.append(ids, np.int32(i))
-        own = np.array(order, np.int64)
+        for w in filter(self.special.__contains__, rest):
+            k = place[w]
+            if not counts[k]:
+                counts[k], at[k] = 1, len(ids)
+                ids = np.append(ids, np.int32(self.special[w]))
+        n_words = np.ones(len(stretches), np.int64)
+        n_words[~plain] = per
+        own = np.empty(int(n_words.sum()), np.int64)
+        from_rest = np.repeat(~plain, n_words)
+        own[from_rest] = order
+        own[~from_rest] = np.arange(int(plain.sum()))
         upto = np.concatenate(([0], np.cumsum(counts[own])))
-        bounds = upto[np.concatenate(([0], np.cumsum(per, dtype=np.int64)))]
+        bounds = upto[np.concatenate(([0], np.cumsum(n_words)))]
         return gather(ids, at[own], counts[own]), np.diff(bounds)
 
     def _words(self, stretch: str) -> list[str]:
@@ -199,13 +223,15 @@ class WordTokenizer:
             return [stretch[:-1], stretch[-1]]
         return self.words.findall(stretch)
 
-    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.array([len(w) for w in words], np.int64)
-        if not len(raw):
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = pa.array(words, pa.large_string())
+        bounds = np.frombuffer(held.buffers()[1], np.int64, len(words) + 1) if words else np.zeros(1, np.int64)
+        lengths = np.diff(bounds)
+        if not bounds[-1]:
             return np.zeros(0, np.int32), lengths
+        raw = np.frombuffer(held.buffers()[2], np.uint8, int(bounds[-1]))
         symbols = self.inner[raw]
-        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        ends = bounds[1:][lengths > 0] - 1
         symbols[ends] = self.final[raw[ends]]
         ids, counts = self.bpe.encode(symbols, lengths)
         return ids, counts
@@ -287,9 +313,9 @@ class Lexicon:
         self.uses[own] += 1
         return own[coded.indices.to_numpy()] if len(entries) else np.zeros(0, np.int64)
 
-    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts whose stretches stand between single spaces, and the bounds of each text's."""
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        parts = pc.split_pattern(texts, " ")
         at = self.slots(parts.flatten())
         upto = parts.offsets.to_numpy().astype(np.int64)
         upto = upto - upto[0]
@@ -313,4 +339,7 @@ def word_lexicon(path: str) -> Lexicon:
 
 def word_documents(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts by a file with word ends, and the bounds of each text's."""
-    return word_lexicon(path).documents(list(map(word_tokenizer(path).spaced, texts)))
+    tok = word_tokenizer(path)
+    spaced = pa.array(map(tok.spaced, texts), pa.large_string())
+    # fewer distinct stretches: the pre-tokens are cut there anyway
+    return word_lexicon(path).documents(pc.replace_substring_regex(spaced, tok.last_signs, r"\1 \2 "))

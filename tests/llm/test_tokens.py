@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,7 +56,7 @@ def test_lexicon_trims(monkeypatch):
     lexicon, tok = tokens.Lexicon(tokens.word_tokenizer(WORD).encode), Tokenizer.from_file(WORD)
     for k in range(6):
         texts = [f"common word{j} other{j * k}" for j in range(30)]
-        ids, bounds = lexicon.documents(texts)
+        ids, bounds = lexicon.documents(pa.array(texts, pa.large_string()))
         for j, t in enumerate(texts):
             assert ids[bounds[j] : bounds[j + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
 
@@ -84,6 +85,21 @@ def test_token_file(ids):
     at = np.random.default_rng(0).permutation(len(ids))
     assert held.tokens(at).tolist() == data[at].tolist()
     assert held.doc_ids.tolist() == [7, 9]
+    cuts = sorted(np.random.default_rng(1).integers(0, len(ids) + 1, 40).tolist())
+    for a, b in zip(cuts, cuts[1:]):
+        assert held.run(a, b).tolist() == ids[a:b]
+
+
+def test_token_files_are_bounded_and_ordered(spark, word):
+    rows = [(7, f"text {k}") for k in range(300)] + [(k, "word " * k) for k in range(60)] + [(None, "a b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, token_files.new_path(spark, "t"), WORD, shards=3, file_tokens=100)
+    files = manifest.orderBy("shard", "part").collect()
+    assert sum(f.docs for f in files) == len(rows) and len(files) > 10
+    assert max(f.tokens for f in files) < 100 + 61 and max(f.part for f in files) > 0
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
 
 
 def test_store_tokens(make, word):
