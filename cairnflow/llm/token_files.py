@@ -140,7 +140,7 @@ def _put(path: str, data: bytes) -> None:
 
 def _tasks(df: DataFrame) -> int:
     """The session's shuffle partitions, and more where the planner expects a larger table."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), 1_000_000))
 
 
