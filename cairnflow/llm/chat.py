@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm.scratch import scratch_table
 
-#: ``> text``, ``>> text``, ``> > text``: the markers of a line, and what stands behind them.
-MARKS = r"^(?:[ \t]{0,3}>)+[ \t]?"
+#: ``> text``, ``>> text``, ``> > text``: the markers of a line, and what stands behind them. The possessive repeat
+#: is a loop in the engine; a plain one calls itself once a mark and overflows the stack of a deep quotation.
+MARKS = r"^(?:[ \t]{0,3}>)++[ \t]?"
 #: A line that introduces a quotation; it goes with the quotation that follows it.
-INTRODUCTION = r"(?i)^[ \t]*(?:on\b.*\bwrote|.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit)[ \t]*:[ \t]*$"
+INTRODUCTION = r"(?i)^[ \t]*+(?:.*\bwrote[ \t]*:|am\b(?=.*\bschrieb).*:|le\b.*\ba écrit[ \t]*:)[ \t]*$"
 
 
 def quote_level(line: Column) -> Column:
@@ -26,9 +27,10 @@ def parse_lines(text: Column) -> Column:
 
 def own_text(parsed: Column) -> Column:
     """The message's own lines, without quotations and the lines that introduce them, trimmed."""
-    indexed = F.transform(parsed, lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.coalesce(F.get(parsed, i + 1)["level"], F.lit(0)).alias("next")))
-    own = F.filter(indexed, lambda x: (x["level"] == 0) & ~((x["next"] > 0) & x["body"].rlike(INTRODUCTION)))
-    return F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), F.lit(" \t\n"))
+    after = F.concat(F.transform(F.slice(parsed, 2, F.size(parsed)), lambda x: x["level"]), F.array(F.lit(0)))
+    rows = F.arrays_zip(parsed.alias("line"), after.alias("next"))
+    own = F.filter(rows, lambda x: (x["line"]["level"] == 0) & ~((x["next"] > 0) & x["line"]["body"].rlike(INTRODUCTION)))
+    return F.trim(F.array_join(F.transform(own, lambda x: x["line"]["body"]), "\n"), F.lit(" \t\n"))
 
 
 def passage_hash(body: Column) -> Column:
@@ -68,6 +70,23 @@ def _roots(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("a chain of replies is longer than two to the number of rounds")
 
 
+def as_replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The same messages as mail shows them: conv_id, turn, role, text. Below its own text each message quotes the
+    one before it, introduced and with one mark a line, and in that the one before that with two. Messages follow
+    each other by turn, repeated turns by text. Rows without conversation or turn quote nothing."""
+    rows = messages.select(
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    order = W.partitionBy("conv_id").orderBy("turn", F.xxhash64("text"))
+    quoted = lambda body, mark: F.concat(F.lit(mark), F.replace(body, F.lit("\n"), F.lit("\n" + mark)))
+    said = lambda k, c: F.lag(c, k).over(order)
+    first = F.concat(F.lit("\n\n"), said(1, "role"), F.lit(" wrote:\n"), quoted(said(1, "text"), "> "))
+    second = F.concat(F.lit("\n> "), said(2, "role"), F.lit(" wrote:\n"), quoted(said(2, "text"), ">> "))
+    replies = rows.filter(whole).select("conv_id", "turn", "role", F.concat("text", F.coalesce(first, F.lit("")), F.coalesce(second, F.lit(""))).alias("text"))
+    return replies.unionByName(rows.filter(~whole))
+
+
 def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a message: conv_id, turn, role, content, reply_to, root_turn, depth, n_quoted, n_linked, formatted.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnflow.llm import ann, bpe, chat, exact_dedup, packing, pii, quality, simhash, token_counts, token_files
 
@@ -25,7 +26,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.build_conversations(table(spark, sf_dir, "conversations"))
+    """The table as it is, and once more with every message quoting those before it: its own texts quote nothing."""
+    messages = table(spark, sf_dir, "conversations")
+    forms = {"plain": messages, "replies": chat.as_replies(messages)}
+    plain, replies = (chat.build_conversations(m).withColumn("form", F.lit(f)) for f, m in forms.items())
+    return plain.unionByName(replies)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,38 @@ def test_content_and_odd_rows(spark):
     assert (at[1, 2]["root_turn"], at[1, 2]["depth"], at[1, 3]["role"], at[1, 3]["n_quoted"]) == (0, 2, "user", 1)
     assert at[1, 1]["formatted"] == "<|im_start|>assistant\nFine.<|im_end|>" and at[2, 0]["content"] == "" and at[None, None]["reply_to"] is None
     assert chat.build_conversations(df.limit(0)).count() == 0
+
+
+def test_deep_and_long_quotations(spark):
+    rows = [(1, 0, "user", "said"), (1, 1, "user", "> " * 20_000 + "said"), (1, 2, "user", ">" * 20_000), (2, 0, "user", "\n".join(f"line {k}" for k in range(20_000)))]
+    rows.append((2, 1, "user", "\n".join(f"> line {k}" for k in range(20_000)) + "\nand am schrieb " + "schrieb " * 20_000))
+    got = {(r.conv_id, r.turn): r for r in chat.build_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1, 1].reply_to, got[1, 1].content, got[1, 2].content) == (0, "", "")
+    assert (got[2, 1].reply_to, got[2, 1].n_linked) == (0, 20_000) and got[2, 1].content.startswith("and am")
+
+
+def test_replies_give_back_the_messages(spark, sf):
+    messages = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in chat.build_conversations(chat.as_replies(messages)).collect()}
+    rows = [r for r in messages.collect() if r.conv_id is not None and r.turn is not None]
+    assert len(got) == len(rows) > 0
+    by_conv = {}
+    for r in sorted(rows, key=lambda r: r.turn):
+        by_conv.setdefault(r.conv_id, []).append(r)
+    linked = 0
+    for c, own in by_conv.items():
+        for before, r in zip([None, *own], own):
+            said = (r.text or "").strip(" \t\n")
+            if not said.startswith(">") and ">" not in said:
+                assert got[c, r.turn].content == said
+            if before is not None and (before.text or "").strip():
+                assert got[c, r.turn].reply_to == before.turn
+                linked += 1
+    assert linked > 20
+
+
+def test_replies_of_odd_rows(spark):
+    rows = [(1, 1, "user", "a"), (1, 1, "user", "a"), (1, 2, None, None), (None, 3, "user", "b"), (1, None, "user", "c")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS level")
+    assert chat.as_replies(df).count() == 5 and chat.as_replies(df.limit(0)).count() == 0
+    assert chat.build_conversations(chat.as_replies(df)).count() == 5
