@@ -12,7 +12,6 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cairnflow.llm.scratch import scratch_table
 
@@ -36,17 +35,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = slim.join(F.broadcast(frequent), "text_sha256", "left_semi").groupBy("text_sha256").agg(*of_group)
     winners = scratch_table(verified.filter("group_size > 1"), "winners")
     split = slim.join(F.broadcast(winners), "text_sha256", "left")
-    digest = W.partitionBy("text_sha256")
     hot = split.filter("group_size is not null")
-    cold = split.filter("group_size is null").select(
-        "text_sha256", "doc_id", F.max("doc_id").over(digest).alias("keep_id"), F.count(F.lit(1)).over(digest).alias("group_size")
-    )
+    cold = split.filter("group_size is null").select("doc_id", "text_sha256")
+    # summed on the map side first: a group just below ``support`` of the rows is a row a task in the shuffle
+    groups = cold.groupBy("text_sha256").agg(*of_group)
+    cold = cold.join(groups, "text_sha256")
     return hot.unionByName(cold).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay."""
-    dropped = exact_dedup(docs, id_col, text_col, support).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(scratch_table(dropped, "dropped"), id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay.
+
+    Rows are told apart by id and text: of rows that share an id, each stays or goes with its own text's group.
+    """
+    dropped = exact_dedup(docs, id_col, text_col, support).filter("not kept").select("doc_id", "text_sha256").distinct()
+    dropped = scratch_table(dropped, "dropped")
+    same = docs[id_col].eqNullSafe(dropped["doc_id"]) & (text_digest(docs[text_col]) == dropped["text_sha256"])
+    return docs.join(dropped, same, "left_anti")

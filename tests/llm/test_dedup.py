@@ -33,6 +33,17 @@ def test_drop_copies_keeps_columns(make):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [2, 3, 4, 6, 8, 8, 9, 159]
 
 
+def test_drop_copies_keeps_exactly_the_kept_rows(make):
+    rows = [(8, "x"), (9, "X"), (8, "other text"), (None, "x"), (None, "other"), (None, "other"), (None, None), (3, ""), (4, "twice"), (4, "twice"), (2, "TWICE")]
+    left = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(make(rows)).collect()), key=str)
+    want = []
+    for k, t in rows:
+        ids = [i for i, u in rows if (u or "").translate(LOWER) == (t or "").translate(LOWER)]
+        if k == max((i for i in ids if i is not None), default=None):
+            want.append((k, t))
+    assert left == sorted(want, key=str) and (8, "other text") in left and (None, "x") not in left
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
