@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own where that is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own where that is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="cairnflow-")
@@ -24,8 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/cairnflow/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairnflow/{uuid.uuid4().hex}-{name}"
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +48,8 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every scratch table below the shared folder; results that still read them become invalid."""
+    """Delete this application's scratch tables; results that still read them become invalid. Other applications'
+    tables below the same shared folder stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cairnflow")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
