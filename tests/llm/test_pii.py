@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairnflow.llm import pii
 
@@ -62,40 +64,21 @@ def corpus():
     return [*rows, (30, "ZEPHYRINE alone"), (31, None), (32, "Agents"), (40, "agent only"), (41, "an agent"), (42, "agent agent")]
 
 
-def degrees(rows, support):
-    """term: largest PMI / IC over entities, from all lines."""
-    lines = [line for _, t in rows for line in (t or "").split("\n")]
-    words = lambda s: {w for w in re.split(r"[\W\d_]+", s.lower()) if len(w) >= 3}
-    held = {}
-    for line in lines:
-        own = {line[a:b] for a, _, b, _ in spans(line)}
-        bare = line
-        for v in own:
-            bare = bare.replace(v, " ")
-        for v in own:
-            held.setdefault(v, []).append((line, words(bare)))
-    out = {}
-    for sets in held.values():
-        for t in set().union(*(s for _, s in sets)):
-            together = sum(t in s for _, s in sets)
-            if len({line for line, s in sets if t in s}) >= support:
-                n_t = sum(t in words(x) for x in lines)
-                out[t] = max(out.get(t, -9), math.log(together * len(lines) / (len(sets) * n_t)) / math.log(len(lines) / len(sets)))
-    return out
-
-
 def test_terms(make):
     rows = corpus()
-    want = degrees(rows, 3)
-    found = pii.find_base(make(rows), "doc_id", "text")
-    got = {r.term: (r.degree, r.kind) for r in pii.disclosing_terms(make(rows).selectExpr("coalesce(text, '') AS text"), found.filter("size(base) > 0"), 3, -9.0, 1.0, 100).collect()}
-    assert {t: pytest.approx(d) for t, d in want.items()} == {t: d for t, (d, _) in got.items()}
     for most in (100, 0):  # by broadcast and by shuffle
         spans_ = {r.doc_id: r.spans for r in pii.span_digests(make(rows), generalise=0.8, most_broadcast=most).collect()}
         assert "term_generalised:6:15" in spans_[0] and "email:20:29" in spans_[0]
         assert spans_[30] == "term_generalised:0:9" and spans_[10] == "" and spans_[32] == "" and spans_[31] == ""
 
 
+def test_many_spans_in_one_text(make):
+    many = " ".join(f"u{k}@x.org +1 (555) 010-{k % 9000 + 1000}" for k in range(50_000))
+    start = time.time()
+    row = pii.sanitise(make([(1, many)])).collect()[0]
+    assert row.text == " ".join(["[EMAIL] [PHONE]"] * 50_000) and time.time() - start < 60
+
+
 def reveal(rows, generalise=0.9, chance=0.05):
     """term: degree, from distinct lines and the pairs that are in or next to each other's lines beyond chance."""
     words = lambda s: {w for w in re.split(r"[\W\d_]+", s.lower()) if len(w) >= 3}
@@ -136,7 +119,8 @@ def two_line_corpus():
 
 
 def revealed(make, rows, most=100, **options):
-    found = pii.find_base(make(rows), "doc_id", "text")
+    base = F.concat(*pii.base_spans(F.col("text")).values())
+    found = make(rows).selectExpr("coalesce(text, '') AS text").withColumn("base", base)
     texts = make(rows).selectExpr("coalesce(text, '') AS text")
     return {r.term: r.degree for r in pii.revealing_terms(texts, found.filter("size(base) > 0"), 1, options.get("generalise", 0.9), 1.0, most).collect()}
 
@@ -151,6 +135,14 @@ def test_entities_in_two_lines_and_names_next_to_them(make):
     assert text[0] == "note 0\nDear , this noon\nwrite to [EMAIL] for noon\nbye noon"
 
 
+def test_places_in_texts_whose_lower_case_is_longer(make):
+    rows = [*two_line_corpus(), (500, "\u0130\u0130 Zephyrine went"), (501, "\u0130 zephyrine\u0130 ZEPHYRINE.")]
+    got = {r.doc_id: r.spans for r in pii.span_digests(make(rows), generalise=0.8).collect()}
+    assert got[500] == "term_generalised:3:12" and got[501] == "term_generalised:13:22"
+    text = {r.doc_id: r.text for r in pii.sanitise(make(rows), generalise=0.8).collect()}
+    assert text[500] == "\u0130\u0130 [TERM] went" and text[501] == "\u0130 zephyrine\u0130 [TERM]."
+
+
 def test_revealing_terms_count(make):
     r = random.Random(5)
     names = ["ann", "bea", "cyd", "dot"]
