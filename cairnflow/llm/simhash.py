@@ -104,33 +104,16 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate([k[ok] for k, ok in out])
 
 
-class Forest:
-    """Union-find over positions; the smaller root wins."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def links_within(fp: np.ndarray, most: int = MOST, block: int = 1024) -> list[tuple[int, int]]:
+def links_within(fp: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     """Links (positions) that connect what pairs at ``most`` bits or fewer connect: at most ``len(fp) - 1``.
-    All pairs are compared, in blocks; memory is that of a block's pairs."""
-    forest, out, bits = Forest(len(fp)), [], fp.view(np.uint64)
-    for a in range(0, len(bits), block):
-        for b in range(a, len(bits), block):
-            x, y = np.nonzero(np.bitwise_count(bits[a : a + block, None] ^ bits[None, b : b + block]) <= most)
-            for p, q in zip((x + a).tolist(), (y + b).tolist()):
-                if p < q and forest.join(p, q):
-                    out.append((p, q))
+    Each row is compared with all after it that it is not connected to yet."""
+    bits, label, out = fp.view(np.uint64), np.arange(len(fp)), []
+    for i in range(len(bits) - 1):
+        at = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= most) & (label[i + 1 :] != label[i])) + i + 1
+        if len(at):
+            labels, first = np.unique(label[at], return_index=True)
+            out += [(i, int(j)) for j in at[first]]
+            label[np.isin(label, np.append(labels, label[i]))] = min(labels[0], label[i])
     return out
 
 
@@ -204,13 +187,7 @@ def _dealt(keyed: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
 
 def fingerprint_links(classes: DataFrame, most: int = MOST, hot: int = 16_384, support: float = 1e-4) -> DataFrame:
     """Links (a, b) between different fingerprints of ``classes`` (fp: long, distinct) that connect everything
-    that pairs at ``most`` bits or fewer connect; ``most`` is at most 4.
-
-    Keys may be shared by many rows. Misra-Gries finds all with over ``support`` of the key rows, at most
-    ``1 / support`` keys; those with over ``hot`` rows are dealt into parts before the shuffle. Other runs of over
-    ``hot`` rows are met by the tasks, which pass them on to a second shuffle that deals them likewise. A task
-    compares ``hot`` rows at a time; no row is dropped.
-    """
+    that pairs at ``most`` bits or fewer connect; ``most`` is at most 4."""
     if not 0 <= most <= 4:
         raise ValueError("the keys hold for up to 4 differing bits")
 
@@ -222,14 +199,25 @@ def fingerprint_links(classes: DataFrame, most: int = MOST, hot: int = 16_384, s
                 which, key = golay_keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[which])], ["key", "fp"])
 
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return key_links(classes.select("fp").mapInArrow(keys, "key long, fp long"), most, hot, support)
+
+
+def key_links(keyed: DataFrame, most: int, hot: int = 16_384, support: float = 1e-4) -> DataFrame:
+    """Links (a, b) between different fingerprints that share a key, rows (key, fp) of ``keyed``, which connect
+    everything that such pairs at ``most`` bits or fewer connect.
+
+    Keys may be shared by many rows. Misra-Gries finds all with over ``support`` of the key rows, at most
+    ``1 / support`` keys; those with over ``hot`` rows are dealt into parts before the shuffle. Other runs of over
+    ``hot`` rows are met by the tasks, which pass them on to a second shuffle that deals them likewise. A task
+    compares ``hot`` rows at a time; no row is dropped.
+    """
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def met(dealt: DataFrame, limit: int) -> DataFrame:
         rows = dealt.select("key", "part", "fp").repartition(n, "key", "part").sortWithinPartitions("key", "part")
         return rows.mapInArrow(lambda batches: bucket_links(batches, most, limit), "a long, b long, key long").distinct()
 
     of_key = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    keyed = classes.select("fp").mapInArrow(keys, "key long, fp long")
     frequent = keyed.stat.freqItems(["key"], support).select(F.explode("key_freqItems").alias("key"))
     large = scratch_table(of_key(keyed.join(F.broadcast(frequent), "key", "left_semi")).filter(F.col("n") > hot), "hot")
     first = keyed.withColumn("part", F.lit(0)) if large.isEmpty() else _dealt(keyed, F.broadcast(large), hot)
@@ -254,9 +242,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST, id_col: s
     labels = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = scratch_table(linked.join(labels, "component").select("fp", "component_id"), "labels")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, width: int = 4, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay."""
-    found = near_duplicates(docs, width, most, id_col, text_col).filter("doc_id <> component_id")
-    return docs.join(scratch_table(found.select(F.col("doc_id").alias(id_col)), "dropped"), id_col, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-from cairnflow.llm import components, exact_dedup, simhash
+from cairnflow.llm import components, exact_dedup, near_copies, simhash
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 ROWS = [(1, "Ab"), (2, "aB"), (3, "ÄB"), (4, "äb"), (5, None), (6, ""), (7, "x"), (8, "x"), (8, "x"), (None, "x"), (None, "lonely"), (9, "X" * 200_000)] + [(100 + k, "HOT text") for k in range(60)]
@@ -57,6 +57,22 @@ def fingerprint(text):
     return sum(1 << i for i in range(64) if 2 * ones[i] > len(shingles))
 
 
+class Forest:
+    """Union-find over positions; the smaller root wins."""
+
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def root(self, x):
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x, y):
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+
+
 def near_rows():
     r = random.Random(5)
     words = [f"w{k}" for k in range(400)]
@@ -75,7 +91,7 @@ def near_rows():
 def test_near(make):
     rows = near_rows()
     prints = np.array([fingerprint(t) for _, t in rows], np.uint64)
-    forest = simhash.Forest(len(rows))
+    forest = Forest(len(rows))
     for p, q in zip(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)):
         forest.join(int(p), int(q))
     members = {}
@@ -88,6 +104,70 @@ def test_near(make):
     assert simhash.near_duplicates(make([])).count() == 0
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def classes(texts, similarity=0.8):
+    """By position, the smallest position of its component of texts that are at least so similar."""
+    sets, forest = [shingles(t) for t in texts], Forest(len(texts))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                forest.join(a, b)
+    return [forest.root(k) for k in range(len(texts))]
+
+
+def test_near_copies(make, monkeypatch):
+    rows = near_rows()
+    want = classes([t for _, t in rows])
+    for task in (near_copies.TASK, 3_000):  # with little in a task, clumps are dealt into parts
+        monkeypatch.setattr(near_copies, "TASK", task)
+        got = near_copies.near_copies(make([(k, t) for k, (_, t) in enumerate(rows)])).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.component, []).append(r.doc_id)
+        # no link is wrong; that each true one is found is a matter of chance, which falls with the similarity
+        assert all(len({want[k] for k in g}) == 1 for g in groups.values())
+        assert len(groups) <= len(set(want)) + 1 and len(got) == len(rows)
+    assert near_copies.near_copies(make([])).count() == 0
+
+
+def test_drop_near_copies(make):
+    words = " ".join(f"w{k}" for k in range(100))
+    rows = [(8, words + " x"), (9, words), (8, "other text that is alone"), (None, words + " y"), (None, None), (5, ""), (5, " "), (3, "one of a pair"), (3, "one of a pair"), (4, "One of a PAIR")]
+    left = sorted(((r.doc_id, r.text) for r in near_copies.drop_near_copies(make(rows)).collect()), key=str)
+    empty = [x for x in left if not (x[1] or "").strip()]
+    assert sorted(set(left) - set(empty), key=str) == sorted({(8, words + " x"), (8, "other text that is alone"), (3, "one of a pair")}, key=str)
+    assert [x[0] for x in empty] == [5] and left.count((3, "one of a pair")) == 2
+    docs = make(rows)
+    assert near_copies.drop_near_copies(docs).columns == docs.columns
+
+
+def test_similar_links():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(200)]
+    forest, found = Forest(200), Forest(200)
+    for a in range(200):
+        for b in range(a):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if x | y and len(x & y) >= 0.5 * len(x | y):
+                forest.join(a, b)
+    for a, b in near_copies.similar_links(np.arange(200), sets, 0.5):
+        found.join(a, b)
+    assert [forest.root(k) for k in range(200)] == [found.root(k) for k in range(200)]
+
+
+def test_codewords():
+    signs = near_copies.codewords()
+    assert sorted(set((signs.T @ signs).astype(int)[0].tolist())) == [-9, -7, -1, 1, 7, 9, 23]
+    noisy = np.random.default_rng(7).normal(size=(50, 192))
+    both = np.concatenate((signs, -signs[:, ::-1]), axis=1)  # by number
+    best = np.argsort(-(noisy[:, :23] @ both), axis=1)[:, :2]
+    assert near_copies.decode(noisy)[:, 0].tolist() == best.tolist()
+
+
 def test_long_text():
     text = " ".join(f"w{k % 977}" for k in range(30_000))
     assert simhash.fingerprint(text, chunk=1000) == simhash.fingerprint(text) == fingerprint(text)
