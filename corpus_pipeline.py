@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import exact_dedup, packing, pii, quality, simhash
+from cairnflow.llm import exact_dedup, near_copies, packing, pii, quality
 from cairnflow.llm.scratch import scratch_table
 
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of at most 4 differing bits, the one with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """Of documents linked by a similarity of their five-word shingles of at least 0.8, the one with the smallest id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
