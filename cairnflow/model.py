@@ -53,7 +53,7 @@ LOG_LINE = r"^(\d{2}:\d{2}:\d{2}\.\d+)\s+\((\d+)\)\|(.*)$"
 LOG_DML = r"DML_BEGIN\|\[(\d+)\]\|Op:(\w+)\|Type:(\w+)\|Rows:(\d+)"
 LOG_USER = r"USER_INFO\|\[EXTERNAL\]\|(0\w{14,17})"
 LOG_FAILURE = r"VALIDATION_FAIL\|.*?Name:([\w.]+)"
-SCRIPT_IMPORT = r"@salesforce/apex/([A-Za-z0-9_]+\.[A-Za-z0-9_]+)"
+SCRIPT_IMPORT = r"@[a-z]+/apex/([A-Za-z0-9_]+\.[A-Za-z0-9_]+)"
 SCRIPT_SIGNALS = {
     "wire_calls": r"@wire\s*\(",
     "imperative_calls": r"\b[A-Za-z_]\w*\s*\(\s*\{[^}]*\}\s*\)\s*\.then\b",

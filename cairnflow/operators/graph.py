@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,12 +89,22 @@ def communities(edges: DataFrame, rounds: int = 10, resolution: float = 1.0) ->
     return labels
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with number, from 1 in the given order: ranges are sorted apart, and each starts after those before."""
+    from pyspark.sql import Window as W
+
+    ranged = _checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.join(starts, "_range").select(*df.columns, (F.col("_start") + place).alias("number"))
+
+
 def business_processes(members: DataFrame, category: DataFrame) -> DataFrame:
     """process_id (bp_001, ...), label, size of communities (node, community): the most frequent category, ties to
     the first in order, and the size; largest first. Hub nodes, which have no category, do not count."""
-    from pyspark.sql import Window as W
-
     counted = members.join(category, "node").groupBy("community", "category").agg(F.count(F.lit(1)).alias("n"))
     groups = counted.groupBy("community").agg(F.max_by("category", F.struct(F.col("n"), -F.length("category"))).alias("c"), F.sum("n").alias("size"))
-    order = W.orderBy(F.col("size").desc(), "community")
-    return groups.select("community", F.concat(F.lit("bp_"), F.lpad(F.row_number().over(order).cast("string"), 3, "0")).alias("process_id"), F.concat("c", F.lit(" ("), F.col("size").cast("string"), F.lit(")")).alias("label"), "size")
+    groups = numbered(groups, F.col("size").desc(), F.col("community").asc())
+    return groups.select("community", F.concat(F.lit("bp_"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(3), F.length(F.col("number").cast("string"))), "0")).alias("process_id"), F.concat("c", F.lit(" ("), F.col("size").cast("string"), F.lit(")")).alias("label"), "size")

@@ -15,15 +15,15 @@ from cairnflow import model as M
 KINDS = {
     "EXECUTION_STARTED": "execution_started", "EXECUTION_FINISHED": "execution_finished", "CODE_UNIT_STARTED": "code_unit_started", "CODE_UNIT_FINISHED": "code_unit_finished",
     "DML_BEGIN": "dml_begin", "DML_END": "dml_end", "FLOW_START_INTERVIEW_BEGIN": "flow_start", "FLOW_START_INTERVIEW_END": "flow_end",
-    "VALIDATION_RULE": "validation_rule", "VALIDATION_FAIL": "validation_fail", "USER_INFO": "user_info",
+    "VALIDATION_RULE": "validation_rule", "VALIDATION_PASS": "validation_pass", "VALIDATION_FAIL": "validation_fail", "USER_INFO": "user_info",
 }
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """Lines with time, nanos, kind (other, or null where the line has no time) and body."""
+    """Lines with time, nanos, kind (null where the line has no time or an unknown event) and body."""
     part = lambda k: F.regexp_extract("value", M.LOG_LINE, k)
     word = F.substring_index(part(3), "|", 1)
-    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), word), F.lit("other"))
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), word)
     timed = part(1) != ""
     return lines.select("file", "line_no", F.when(timed, part(1)).alias("time"), F.when(timed, part(2).cast("long")).alias("nanos"), F.when(timed, kind).alias("kind"), F.when(timed, part(3)).alias("body"))
 
@@ -48,13 +48,13 @@ def dml_ops(in_txn: DataFrame) -> DataFrame:
 
 
 def transactions(in_txn: DataFrame) -> DataFrame:
-    """One row a transaction: start, end, events, DML operations, failed rules, flows and the last user."""
+    """One row a transaction: start, end, events after the one that opens it, DML operations, failed rules, flows and the last user."""
     failure = F.when(F.col("kind") == "validation_fail", F.nullif(F.regexp_extract("body", M.LOG_FAILURE, 1), F.lit("")))
     flow = F.when(F.col("kind") == "flow_start", F.element_at(F.split("body", r"\|"), -1))
     user = F.nullif(F.regexp_extract("body", M.LOG_USER, 1), F.lit(""))
     ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("line_no", x.alias("v"))))), lambda s: s["v"])
     return in_txn.groupBy("file", "txn").agg(
-        F.min_by("time", "line_no").alias("started"), F.max(F.when(F.col("kind") == "execution_finished", F.col("time"))).alias("finished"), F.count(F.lit(1)).alias("n_events"),
+        F.min_by("time", "line_no").alias("started"), F.max(F.when(F.col("kind") == "execution_finished", F.col("time"))).alias("finished"), F.count_if(F.col("kind") != "execution_started").alias("n_events"),
         F.count_if((F.col("kind") == "dml_begin") & F.col("body").rlike(M.LOG_DML)).alias("n_dml"), ordered(failure).alias("failures"), ordered(flow).alias("flows"),
         F.max_by(user, F.when(user.isNotNull(), F.col("line_no"))).alias("user_id"),
     )

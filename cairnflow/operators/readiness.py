@@ -127,12 +127,12 @@ def route(records: DataFrame, config: DataFrame, bucket=S.bucket_md5) -> DataFra
     joined = records.join(config.select("process_id", "stage_percent", "hash_seed"), "process_id", "left")
     place = bucket(S.routing_key(F.coalesce("hash_seed", "process_id"), F.col("process_id"), F.col("record_id")))
     runtime = F.coalesce(place < F.col("stage_percent"), F.lit(False))
-    return joined.select("process_id", "record_id", F.when(runtime, "runtime").otherwise("salesforce").alias("routed_to"), F.coalesce("stage_percent", F.lit(0)).alias("stage_percent"))
+    return joined.select("process_id", "record_id", F.when(runtime, "runtime").otherwise("production").alias("routed_to"), F.coalesce("stage_percent", F.lit(0)).alias("stage_percent"))
 
 
 def quota(allocations: DataFrame, remaining: int | None) -> DataFrame:
     """process_id, share, remaining_for, utilization for weights and consumption; without a snapshot nothing is left."""
-    part = F.lit(remaining) * (F.col("weight") / F.sum("weight").over(W.partitionBy()))
+    part = F.lit(remaining) * (F.col("weight") / allocations.agg(F.sum("weight")).scalar())
     share = F.when(F.lit(remaining).isNull(), 0).otherwise(F.floor(part))
     return allocations.select("process_id", share.cast("long").alias("share"), F.greatest(share - F.col("consumed"), F.lit(0)).cast("long").alias("remaining_for"), F.when(part > 0, F.col("consumed") / part).otherwise(1.0).alias("utilization"))
 
@@ -195,7 +195,7 @@ def parity_findings(divergences: DataFrame) -> DataFrame:
     shown = lambda side: F.array_join(F.transform(F.array_sort(F.map_keys("diffs")), lambda k: F.concat(k, F.lit("="), F.coalesce(F.col("diffs")[k][side], F.lit("None")))), ", ")
     severe = F.col("category").isin("translation_error", "ooe_ordering_mismatch")
     return first.select(
-        F.concat(F.lit("divergence-"), "category").alias("finding_id"), F.lit("discovered_undocumented").alias("category"), F.concat(F.lit("Production produced: "), shown("production")).alias("salesforce_behavior"),
+        F.concat(F.lit("divergence-"), "category").alias("finding_id"), F.lit("discovered_undocumented").alias("category"), F.concat(F.lit("Production produced: "), shown("production")).alias("production_behavior"),
         F.concat(F.lit("Runtime produced: "), shown("runtime")).alias("runtime_behavior"), F.concat(F.lit("Observed during shadow execution; categorized as "), "category", F.lit(".")).alias("rationale"),
         F.when(severe, "major").otherwise("minor").alias("severity"), F.lit("open").alias("customer_disposition"),
     )

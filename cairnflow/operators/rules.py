@@ -87,12 +87,10 @@ def criterion(record: Record, path: str, operation: str, value: str) -> L.Typed:
     if operation in ops:
         return L._binary(ops[operation], x, y)
     text, wanted = F.coalesce(x.value.cast("string"), F.lit("")), F.lit(value)
-    if operation == "contains":
+    if operation in ("contains", "includes"):
         return L.Typed("bool", F.contains(text, wanted), x.error)
     if operation == "startsWith":
         return L.Typed("bool", F.startswith(text, wanted) & x.value.isNotNull(), x.error)
-    if operation == "includes":
-        return L.Typed("bool", F.array_contains(F.split(text, ";"), value), x.error)
     return L._binary("=", x, y)
 
 

@@ -132,7 +132,7 @@ _BUCKET = "CAST(('0x' || substr(md5(hash_seed || ':' || process_id || ':' || rec
 
 
 @query(f"""WITH j AS (SELECT t.process_id, record_id, stage_percent, {_BUCKET} AS b FROM traffic t JOIN cfg USING (process_id))
-    SELECT process_id, record_id, CASE WHEN b < stage_percent THEN 'runtime' ELSE 'salesforce' END AS routed_to, stage_percent FROM j""", "traffic", "cfg")
+    SELECT process_id, record_id, CASE WHEN b < stage_percent THEN 'runtime' ELSE 'production' END AS routed_to, stage_percent FROM j""", "traffic", "cfg")
 def route_md5(spark, traffic, cfg):
     return readiness.route(traffic, cfg)
 
@@ -581,6 +581,13 @@ def criteria_conjunction(spark, rec):
     return rec.select("id", L.truthy(hit).alias("hit"))
 
 
+@query("SELECT id, contains(Name, '#0') AND contains(Stage, 'O') AS hit FROM rec_opp", "rec_opp")
+def criteria_includes(spark, rec):
+    """A multi-valued field includes a value where its text contains it, as for ``contains``."""
+    hit = rules.conjunction(rules.Record(rec.schema), [("Name", "includes", "#0"), ("Stage", "includes", "O")])
+    return rec.select("id", L.truthy(hit).alias("hit"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN contains(lower(coalesce(text, '')), 'urgent') THEN 'high_priority' ELSE 'standard_queue' END AS route FROM conversations", "conversations")
 def urgent_route(spark, conversations):
     return conversations.select("conv_id", "turn", rules.urgent_route(F.col("text")).alias("route"))
@@ -845,7 +852,7 @@ def business_processes(spark, chain):
 
 # --- logs -------------------------------------------------------------------------------------------------------
 
-_CLS = r"""cl AS (SELECT file, line_no, regexp_extract(value, '^(\d{2}:\d{2}:\d{2}\.\d+)\s+\((\d+)\)\|(.*)$', 3) AS body, CASE WHEN value LIKE '10:%' THEN CASE split_part(regexp_extract(value, '^[^|]*\|(.*)$', 1), '|', 1) WHEN 'EXECUTION_STARTED' THEN 'execution_started' WHEN 'EXECUTION_FINISHED' THEN 'execution_finished' WHEN 'DML_BEGIN' THEN 'dml_begin' WHEN 'FLOW_START_INTERVIEW_BEGIN' THEN 'flow_start' WHEN 'VALIDATION_FAIL' THEN 'validation_fail' ELSE 'user_info' END END AS kind FROM lines)"""
+_CLS = r"""cl AS (SELECT file, line_no, regexp_extract(value, '^(\d{2}:\d{2}:\d{2}\.\d+)\s+\((\d+)\)\|(.*)$', 3) AS body, CASE WHEN value LIKE '10:%' THEN CASE split_part(regexp_extract(value, '^[^|]*\|(.*)$', 1), '|', 1) WHEN 'EXECUTION_STARTED' THEN 'execution_started' WHEN 'EXECUTION_FINISHED' THEN 'execution_finished' WHEN 'DML_BEGIN' THEN 'dml_begin' WHEN 'FLOW_START_INTERVIEW_BEGIN' THEN 'flow_start' WHEN 'VALIDATION_FAIL' THEN 'validation_fail' WHEN 'VALIDATION_PASS' THEN 'validation_pass' WHEN 'USER_INFO' THEN 'user_info' END END AS kind FROM lines)"""
 _TXN = _CLS + """, st AS (SELECT *, CAST(sum(CASE WHEN kind = 'execution_started' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS BIGINT) AS txn FROM cl WHERE kind IS NOT NULL),
     cd AS (SELECT *, coalesce(sum(CASE WHEN kind = 'execution_finished' THEN 1 ELSE 0 END) OVER (PARTITION BY file, txn ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM st), inn AS (SELECT * FROM cd WHERE txn > 0 AND closed = 0)"""
 _FAIL = r"list(regexp_extract(body, 'VALIDATION_FAIL\|.*?Name:([\w.]+)', 1) ORDER BY line_no) FILTER (kind = 'validation_fail')"
@@ -861,7 +868,7 @@ def log_stats(spark, lines):
     return logs.parse_stats(logs.classify(lines))
 
 
-@query(f"""WITH {_TXN} SELECT file, txn, count(*) AS n_events, count(*) FILTER (kind = 'dml_begin') AS n_dml, coalesce(array_to_string({_FAIL}, ','), '') AS failures, coalesce(string_agg(split_part(body, '|', 3), ',' ORDER BY line_no) FILTER (kind = 'flow_start'), '') AS flows, max(split_part(body, '|', 3)) FILTER (kind = 'user_info') AS user_id FROM inn GROUP BY 1, 2""", "lines")
+@query(f"""WITH {_TXN} SELECT file, txn, count(*) FILTER (kind <> 'execution_started') AS n_events, count(*) FILTER (kind = 'dml_begin') AS n_dml, coalesce(array_to_string({_FAIL}, ','), '') AS failures, coalesce(string_agg(split_part(body, '|', 3), ',' ORDER BY line_no) FILTER (kind = 'flow_start'), '') AS flows, max(split_part(body, '|', 3)) FILTER (kind = 'user_info') AS user_id FROM inn GROUP BY 1, 2""", "lines")
 def log_transactions(spark, lines):
     done = logs.transactions(logs.sessions(logs.classify(lines)))
     return done.select("file", "txn", "n_events", "n_dml", joined("failures").alias("failures"), joined("flows").alias("flows"), "user_id")
@@ -890,7 +897,7 @@ def log_replay_summary(spark, lines):
     return logs.replay_summary(_compared(lines))
 
 
-@query(f"WITH {_CLS} SELECT line_no, 1704103200000 + CASE WHEN kind = 'execution_started' THEN 100 WHEN kind = 'user_info' THEN 250 WHEN kind = 'dml_begin' THEN 1500 WHEN kind = 'execution_finished' THEN 3000 ELSE 2000 END AS at_ms FROM cl WHERE kind IS NOT NULL", "lines")
+@query(f"WITH {_CLS} SELECT line_no, 1704103200000 + CASE WHEN kind = 'execution_started' THEN 100 WHEN kind IN ('user_info', 'validation_pass') THEN 250 WHEN kind = 'dml_begin' THEN 1500 WHEN kind = 'execution_finished' THEN 3000 ELSE 2000 END AS at_ms FROM cl WHERE kind IS NOT NULL", "lines")
 def log_times(spark, lines):
     at = logs.timestamps(logs.classify(lines).filter("kind is not null"), "2024-01-01")
     return at.select("line_no", F.unix_millis("at").alias("at_ms"))

@@ -45,7 +45,7 @@ VIEWS = {
     "traffic": "SELECT n_name AS process_id, concat('r', CAST(o_orderkey AS STRING)) AS record_id FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 4 OR o_orderkey % 2 = 0",
     "lines": """SELECT concat('f', CAST(user_id % 7 AS STRING)) AS file, event_id * 10 + k AS line_no, user_id, event_id, event_type,
         CASE k WHEN 0 THEN CASE WHEN event_id % 11 = 0 THEN 'no time here' ELSE concat('10:00:00.1 (', CAST(event_id AS STRING), ')|EXECUTION_STARTED') END
-        WHEN 1 THEN concat('10:00:00.25 (2)|USER_INFO|[EXTERNAL]|0', lpad(CAST(user_id AS STRING), 14, '0'), '|u')
+        WHEN 1 THEN CASE event_id % 13 WHEN 5 THEN '10:00:00.25 (2)|HEAP_ALLOCATE|[1]|Bytes:8' WHEN 6 THEN '10:00:00.25 (2)|VALIDATION_PASS' ELSE concat('10:00:00.25 (2)|USER_INFO|[EXTERNAL]|0', lpad(CAST(user_id AS STRING), 14, '0'), '|u') END
         WHEN 2 THEN concat('10:00:01.5 (3)|DML_BEGIN|[', CAST(event_id AS STRING), ']|Op:', CASE WHEN event_type = 'purchase' THEN 'Insert' ELSE 'Update' END, '|Type:Lead|Rows:', CAST(user_id % 3 + 1 AS STRING))
         WHEN 3 THEN CASE WHEN event_type = 'error' THEN concat('10:00:02.0 (4)|VALIDATION_FAIL|x Name:Rule_', CAST(user_id % 4 AS STRING)) ELSE concat('10:00:02.0 (4)|FLOW_START_INTERVIEW_BEGIN|id|Flow', CAST(user_id % 3 AS STRING)) END
         ELSE '10:00:03.0 (5)|EXECUTION_FINISHED' END AS value

@@ -102,7 +102,33 @@ def test_log(spark):
     kinds = logs.classify(lines)
     assert tuple(logs.parse_stats(kinds).first())[1:] == (8, 1)
     (t,) = logs.transactions(logs.sessions(kinds)).collect()
-    assert (t.n_events, t.n_dml, t.failures, t.flows, t.user_id) == (8, 1, ["Email_Required"], ["LeadRouting"], "005000000000001")
+    assert (t.n_events, t.n_dml, t.failures, t.flows, t.user_id) == (7, 1, ["Email_Required"], ["LeadRouting"], "005000000000001")
+
+
+def test_log_lines_of_unknown_kinds_are_not_classified(spark):
+    rows = ["10:00:00.1 (1)|EXECUTION_STARTED", "10:00:00.2 (2)|HEAP_DUMP|x", "10:00:00.3 (3)|VALIDATION_PASS", "10:00:00.4 (4)|EXECUTION_FINISHED"]
+    kinds = logs.classify(spark.createDataFrame([("f", k, v) for k, v in enumerate(rows)], "file string, line_no int, value string"))
+    assert tuple(logs.parse_stats(kinds).first()) == ("f", 3, 1)
+    assert logs.transactions(logs.sessions(kinds)).first().n_events == 2
+    assert logs.classify(kinds.sparkSession.createDataFrame([("f", 1, "10:00:00.1 (1)|OTHER")], "file string, line_no int, value string")).first().kind is None
+
+
+def test_includes_is_containment(spark):
+    from cairnflow.functions import formula as L
+    from cairnflow.operators import rules
+
+    df = spark.createDataFrame([("a;bc",), ("b",), (None,)], "v string")
+    hit = L.truthy(rules.conjunction(rules.Record(df.schema), [("v", "includes", "b")]))
+    assert [r.hit for r in df.select(hit.alias("hit")).collect()] == [True, True, False]
+
+
+def test_numbers_over_ranges(spark):
+    from cairnflow.operators import graph
+
+    df = spark.range(500).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 5).alias("g"))
+    got = graph.numbered(df, F.col("g").desc(), F.col("k").asc()).collect()
+    want = sorted(df.collect(), key=lambda r: (-r.g, r.k))
+    assert sorted((r.number, r.g, r.k) for r in got) == [(n + 1, r.g, r.k) for n, r in enumerate(want)]
 
 
 def admitted(requests, budgets):

@@ -12,7 +12,7 @@ FILES = {
     "workflows/Deal.workflow-meta.xml": X.format("Workflow", "<rules><fullName>R</fullName><active>true</active><criteriaItems><field>Deal.Amount</field><operation>greaterThan</operation><value>5</value></criteriaItems><actions><name>U</name><type>FieldUpdate</type></actions></rules><fieldUpdates><fullName>U</fullName><field>Status</field><literalValue>hot</literalValue></fieldUpdates>"),
     "flows/F.flow-meta.xml": X.format("Flow", "<processType>AutoLaunchedFlow</processType><start><object>Deal</object><triggerType>RecordAfterSave</triggerType></start><recordUpdates><name>u</name><inputAssignments><field>Rank</field><value><numberValue>3</numberValue></value></inputAssignments></recordUpdates><decisions><name>d</name></decisions>"),
     "flows/G.flow-meta.xml": X.format("Flow", "<processType>Flow</processType><screens><name>s</name></screens>"),
-    "lwc/card/card.js": "import a from '@salesforce/apex/Svc.run';\nif (x) { fetch('u') }",
+    "lwc/card/card.js": "import a from '@host/apex/Svc.run';\nif (x) { fetch('u') }",
     "lwc/card/card.html": "<template/>",
     "sharingRules/Deal.sharingRules-meta.xml": "broken <x",
 }
