@@ -51,6 +51,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by id and text: of rows that share an id, each stays or goes with its own text's group.
     """
     dropped = exact_dedup(docs, id_col, text_col, support).filter("not kept").select("doc_id", "text_sha256").distinct()
-    dropped = scratch_table(dropped, "dropped")
+    # as many rows as copies: a shuffle at every size, and no broadcast that small tables would get
+    dropped = scratch_table(dropped, "dropped").hint("merge")
     same = docs[id_col].eqNullSafe(dropped["doc_id"]) & (text_digest(docs[text_col]) == dropped["text_sha256"])
     return docs.join(dropped, same, "left_anti")

@@ -157,7 +157,7 @@ def similar_sets(rows: DataFrame, docs: DataFrame, width: int, similarity: float
     of_clump = of_clump.filter("sets > 1").withColumn("parts", F.when((F.col("sets") < 3) | (F.col("parts") <= 2), 1).otherwise(F.col("parts")))
     members = scratch_table(placed.join(of_clump, "clump").select("text_id", "set_id", "clump", "parts"), "members")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")).join(members.select("text_id"), "text_id", "left_semi")
+    texts = docs.select(F.xxhash64(text).alias("text_id"), text.alias("text")).join(members.select("text_id").hint("merge"), "text_id", "left_semi")
     texts = texts.groupBy("text_id").agg(F.first("text").alias("text"))
 
     def shingles(batches):
@@ -198,6 +198,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, i
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_id").alias("text"))
     first = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component", "first")
     losers = rows.join(first, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_id") == F.col("first.text"))))
-    dropped = scratch_table(losers.select("doc_id", "text_id").distinct(), "dropped")
+    # as many rows as copies: a shuffle at every size, and no broadcast that small tables would get
+    dropped = scratch_table(losers.select("doc_id", "text_id").distinct(), "dropped").hint("merge")
     same = docs[id_col].eqNullSafe(dropped["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == dropped["text_id"])
     return docs.join(dropped, same, "left_anti")

@@ -104,17 +104,28 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate([k[ok] for k, ok in out])
 
 
-def links_within(fp: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
-    """Links (positions) that connect what pairs at ``most`` bits or fewer connect: at most ``len(fp) - 1``.
-    Each row is compared with all after it that it is not connected to yet."""
-    bits, label, out = fp.view(np.uint64), np.arange(len(fp)), []
+def links_within(fp: np.ndarray, most: int = MOST) -> np.ndarray:
+    """n x 2 positions: each row that pairs at ``most`` bits or fewer connect to an earlier one, after the earliest
+    that it is connected to. Each row is compared with all after it that it is not connected to yet."""
+    bits, label = fp.view(np.uint64), np.arange(len(fp))
     for i in range(len(bits) - 1):
         at = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= most) & (label[i + 1 :] != label[i])) + i + 1
         if len(at):
-            labels, first = np.unique(label[at], return_index=True)
-            out += [(i, int(j)) for j in at[first]]
+            labels = np.unique(label[at])
             label[np.isin(label, np.append(labels, label[i]))] = min(labels[0], label[i])
-    return out
+    at = np.flatnonzero(label != np.arange(len(fp)))
+    return np.stack((label[at], at), axis=1)
+
+
+def least_linked(values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By position, the least value that links (positions x, y) connect it to."""
+    least, changed = values.copy(), True
+    while changed:
+        both = np.minimum(least[x], least[y])
+        changed = bool((both < least[x]).any() or (both < least[y]).any())
+        np.minimum.at(least, x, both)
+        np.minimum.at(least, y, both)
+    return least
 
 
 def _cells(pairs: np.ndarray, over: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -136,18 +147,22 @@ def bucket_links(batches, most: int, limit: int, small: int = 24):
     def emit(key, part, fp):
         cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        size, found, large = end - begin, [], []
+        size, pairs, found, large = end - begin, [], [], []
         few, run = np.repeat(size <= small, size), np.repeat(np.arange(len(size)), size)
         for d in range(1, min(small, int(size.max(initial=0)))):
             x = np.flatnonzero((run[:-d] == run[d:]) & few[:-d])
             x = x[np.bitwise_count((fp[x] ^ fp[x + d]).view(np.uint64)) <= most]
-            found.append(np.stack((fp[x], fp[x + d]), axis=1))
+            pairs.append((x, x + d))
+        if pairs:  # each to the least that it is connected to: the same link in many runs, and no pairs
+            x, y = (np.concatenate(c) for c in zip(*pairs))
+            at = np.unique(np.concatenate((x, y)))
+            found.append(np.stack((least_linked(fp, x, y)[at], fp[at]), axis=1))
         for k in np.flatnonzero(size > small).tolist():
             if size[k] > limit:
                 large.append((key[begin[k] : end[k]], fp[begin[k] : end[k]]))
                 continue
             own = np.unique(fp[begin[k] : end[k]])
-            found.append(np.array([(own[p], own[q]) for p, q in links_within(own, most)], np.int64).reshape(-1, 2))
+            found.append(own[links_within(own, most)])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return _cells(np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0), large)
 
