@@ -59,7 +59,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, one code point for one: the dotted capital I is the only one whose lower case is longer."""
-    return F.lower(F.translate(text, "\u0130", "i"))
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
 
 
 def _let(value: Column, body) -> Column:
@@ -138,7 +138,7 @@ def entity_lines(entities: DataFrame) -> DataFrame:
     """line_id, terms, names, and both of the line and its neighbours, of the distinct lines in or next to which
     entities stand. Every value is written into the text as a name between two private signs, so that a line's names
     and the words around them are found in one walk."""
-    plain = F.translate("text", NAME[0] + NAME[1], "  ")
+    plain = F.replace(F.replace(F.col("text"), F.lit(NAME[0]), F.lit(" ")), F.lit(NAME[1]), F.lit(" "))
     tagged = _replaced(plain, F.col("base"), lambda x, at: F.concat(F.lit(NAME[0]), x["kind"], F.lit(":"), x["value"], F.lit(NAME[1])))
     name = f"{NAME[0]}([^{NAME[1]}]*+){NAME[1]}"
     names = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(name), F.lit(1)))
