@@ -10,7 +10,9 @@ with the deficits that earlier windows, in other tasks, have left.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from cairnflow.llm.bpe import text_batches
 from cairnflow.llm.scratch import scratch_table
 from cairnflow.llm.tokens import byte_tokenizer
 
+#: Numbers of ids served that a worker keeps, 8 bytes each.
+KNOWN = 8_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<int>"
 
 
@@ -40,20 +44,23 @@ class Rounds:
         if w >= self.windows:
             return self.t
         if w not in self.known:
-            if len(self.known) > 20_000:
+            if len(self.known) * len(self.t) > KNOWN:
                 self.known.clear()
             upto = w * self.size
             # Python integers: a product of two token counts may exceed 64 bits
             got = [min(t, (2 * upto * t + self.all) // (2 * self.all)) for t in self.t.tolist()]
             short = upto - sum(got)
-            due = lambda s, k: (2 * k + 1) / self.t[s]
+            # got is off by less than one id a queue: a heap of the exact due times, of the next ids or the last ones
+            step, t = (1, self.t.tolist()) if short > 0 else (-1, self.t.tolist())
+            due = lambda s: (step * Fraction(2 * (got[s] if step > 0 else got[s] - 1) + 1, t[s]), step * s)
+            heap = [(*due(s), s) for s in range(len(got)) if short and (got[s] < t[s] if step > 0 else got[s])]
+            heapq.heapify(heap)
             while short:
-                if short > 0:
-                    s = min((due(s, got[s]), s) for s in range(len(got)) if got[s] < self.t[s])[1]
-                else:
-                    s = max((due(s, got[s] - 1), s) for s in range(len(got)) if got[s])[1]
-                got[s] += 1 if short > 0 else -1
-                short += -1 if short > 0 else 1
+                s = heapq.heappop(heap)[2]
+                got[s] += step
+                short -= step
+                if got[s] < t[s] if step > 0 else got[s]:
+                    heapq.heappush(heap, (*due(s), s))
             self.known[w] = np.array(got, np.int64)
         return self.known[w]
 
@@ -82,6 +89,13 @@ class Rounds:
         return out
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Little-endian ids of 16 bits, which no id of the file may exceed."""
+    if len(ids) and ids.max() > 65_535:
+        raise ValueError("the queues hold ids of 16 bits; this tokeniser has larger ones")
+    return ids.astype("<u2").tobytes()
+
+
 def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, ids (16-bit little-endian, with the end id), chunk (the task) and chunk_start (ids of the
     same source before it in the task)."""
@@ -89,10 +103,10 @@ def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, tex
     def run(batches):
         from pyspark import TaskContext
 
-        tok, end, chunk = byte_tokenizer(tokenizer), np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId()
+        tok, end, chunk = byte_tokenizer(tokenizer), np.array([end_id], "<u4"), TaskContext.get().partitionId()
         upto: dict[str, int] = {}
         for part, texts in text_batches(batches):
-            ids = [tok.ids(t).astype("<u2").tobytes() + end for t in texts]
+            ids = [_narrow(np.concatenate((tok.ids(t), end))) for t in texts]
             sources, starts = part.column("source").to_pylist(), []
             for s, i in zip(sources, ids):
                 starts.append(upto.get(s, 0))

@@ -17,9 +17,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnflow.llm.bpe import text_batches
+from cairnflow.llm.scratch import scratch_table
 
 #: Characters whose features a worker holds at a time, some 30 bytes each.
 CHARS = 2_000_000
@@ -177,28 +179,34 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def train_on(docs: DataFrame, labels: DataFrame, sample: int = 4_000, lines: int = 400, id_col: str = "doc_id", text_col: str = "text") -> LineField:
+def train_on(docs: DataFrame, labels: DataFrame, sample: int = 4_000, lines: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> LineField:
     """Train on at most ``sample`` labelled documents, half of each label where there are enough, those with the
-    smallest hashes of their ids among rows whose crc32(doc_id as text) mod 4 is not 2, and on their first ``lines``
-    lines. The driver holds the features of this sample alone. Without labelled documents every score is 0.5.
+    smallest hashes of their ids among rows whose crc32(doc_id as text) mod 4 is not 2, on whole texts: of those, in
+    that order, as many as have ``lines`` lines together. The driver holds the features of this sample alone. An id
+    with several texts counts with the first by text, one with both labels not at all. Without labelled documents
+    every score is 0.5.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
-    known = known.filter(fold("_id") != 2)
+    known = known.filter(fold("_id") != 2).groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
     drawn = [known.filter(F.col("_label") == k).orderBy(F.xxhash64("_id")).limit(sample // 2) for k in (0, 1)]
     counts = dict(known.groupBy("_label").count().collect())
 
     def features(batches):
         for part, texts in text_batches(batches, chars=CHARS):
-            cut = ["\n".join(t.split("\n", lines)[:lines]) for t in texts]
-            x, size, per = line_features(cut)
+            x, size, per = line_features(texts)
             at = np.cumsum(per) - per
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("label"), pa.array([x[a : a + n].tobytes() for a, n in zip(at, per)], pa.binary()), pa.array([size[a : a + n].tobytes() for a, n in zip(at, per)], pa.binary())],
                 ["id", "label", "x", "size"],
             )
 
-    chosen = F.broadcast(drawn[0].union(drawn[1]).dropDuplicates(["_id"]))  # at most ``sample`` rows
-    rows = docs.join(chosen, docs[id_col] == F.col("_id")).select(F.col("_id").alias("id"), F.col("_label").alias("label"), F.col(text_col).alias("text"))
+    chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most ``sample`` rows
+    rows = docs.join(chosen, docs[id_col] == F.col("_id")).groupBy(F.col("_id").alias("id")).agg(F.min("_label").alias("label"), F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = scratch_table(rows, "sample")
+    size = F.size(F.split("text", r"\n"))
+    upto = F.sum(size).over(W.orderBy(F.xxhash64("id"), "id"))  # one task for at most ``sample`` rows
+    within = rows.select("id", size.alias("n"), upto.alias("upto")).filter((F.col("upto") <= lines) | (F.col("upto") == F.col("n"))).select("id")
+    rows = rows.join(F.broadcast(within), "id")
     got = sorted(rows.mapInArrow(features, "id long, label int, x binary, size binary").collect(), key=lambda r: (r.id, bytes(r.x)))
     if not got:
         return LineField(np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)))
