@@ -39,6 +39,12 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return unit[taken]
 
 
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """The vectors with one component more, which makes all as long as the longest: by angle, a query with 0 there
+    has them in the order of their inner products, whatever their lengths."""
+    return np.column_stack((vectors, np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))))
+
+
 def inverted_files(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """A row for each pivot: ``prefix`` less its place for each vector, 0 where it is not in the prefix. With
     half of all pivots in a prefix, a byte for every vector is shorter than a list of vectors and places."""
@@ -52,7 +58,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
 
-def search_block(queries: pa.Table, index: pa.Table, pivots: np.ndarray, prefix: int, rerank: float, k: int) -> pa.Table:
+def search_block(queries: pa.Table, index: pa.Table, pivots: np.ndarray, prefix: int, rerank: float, k: int, longest: float) -> pa.Table:
     """The ``k`` best of a block for each query: footrule ranks, then inner products in double precision.
 
     Equal vectors are ranked once and stand for their ``k + 1`` smallest ids, the only ones that can be found."""
@@ -65,9 +71,9 @@ def search_block(queries: pa.Table, index: pa.Table, pivots: np.ndarray, prefix:
         order = np.argsort(which, kind="stable")
         first = np.searchsorted(which[order], np.arange(len(vectors)))
         sizes = np.minimum(np.diff(np.append(first, len(order))), k + 1)
-        files = inverted_files(vectors, pivots, prefix)
+        files = inverted_files(lifted(vectors, longest), pivots, prefix)
         asked = _matrix(queries)
-        near = np.argsort(-(asked @ pivots.T), axis=1, kind="stable")[:, :prefix]
+        near = np.argsort(-(asked @ pivots[:, :-1].T), axis=1, kind="stable")[:, :prefix]
         n = min(len(vectors), max(4 * k, int(np.ceil(rerank * len(vectors)))))
         for q, own, at in zip(queries.column("vec_id").to_pylist(), asked, near.tolist()):
             shared = np.zeros(len(vectors), np.int32)
@@ -94,16 +100,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256,
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own. Pivots
     come from the ``sample`` rows with the smallest hashes; every row is indexed. ``rerank`` is the share of each
     index block that is compared exactly; the recall is measured in tests/llm/test_ann.py on isotropic vectors of 64
-    dimensions, the hardest case. Vectors whose length differs from the pivots' take no part; null ids neither. Rows that repeat
+    dimensions, of one length and of uneven ones, and on the driver's table. Vectors of another number of components
+    than the commonest one (ties: the smaller) cannot be compared and take no part; null ids neither. Rows that repeat
     an id are candidates each; fewer than ``k`` candidates are all returned; an empty table gives an empty result.
     """
     rows = scratch_table(usable(vectors, id_col, vector_col), "vectors")
-    drawn = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect() if r.v], dtype=object)
-    if not len(drawn):
+    commonest = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if commonest is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    width = len(drawn[0])
-    chosen = choose_pivots(np.array([v for v in drawn if len(v) == width], np.float64), pivots)
-    rows = rows.filter(F.size("v") == width)
+    rows = rows.filter(F.size("v") == commonest.n)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    longest = rows.agg(F.max(length)).first()[0]
+    longest = longest if np.isfinite(longest) else 0.0
+    drawn = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()], np.float64)
+    chosen = choose_pivots(lifted(drawn, longest), pivots)
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     index_blocks, query_blocks = max(1, -(-n // index_block)), max(1, -(-asked // query_block))
     part = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
@@ -112,7 +122,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256,
     queries = rows.filter(F.col("vec_id") % every == 0).distinct().select("vec_id", "v", over(index_blocks).alias("i"), part(query_blocks).alias("q"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return search_block(left, right, chosen, min(prefix, len(chosen)), rerank, k)
+        return search_block(left, right, chosen, min(prefix, len(chosen)), rerank, k, longest)
 
     found = queries.groupBy("i", "q").cogroup(index.groupBy("i", "q")).applyInArrow(search, FOUND)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

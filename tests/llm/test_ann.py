@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from cairnflow.llm import ann
 
@@ -19,10 +20,11 @@ def brute(ids, x, k):
     return out
 
 
-def test_recall_on_isotropic_vectors(spark):
+@pytest.mark.parametrize("uneven", [False, True])
+def test_recall_on_isotropic_vectors(spark, uneven):
     r = np.random.default_rng(1)
     x = r.normal(size=(4000, 64))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * (r.lognormal(sigma=0.5, size=(4000, 1)) if uneven else 1)).astype(np.float32)
     ids = np.arange(4000)
     df = spark.createDataFrame([(int(i), v.tolist(), "c") for i, v in zip(ids, x)], SCHEMA + ", rank string")
     want, got = brute(ids, x.astype(np.float64), 20), {}
@@ -57,3 +59,23 @@ def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.nearest(few.limit(0)).count() == 0
+
+
+def test_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    want = brute(ids, x, 20)
+    found = ann.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_the_commonest_number_of_components_takes_part(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, r.normal(size=3).tolist()) for k in range(59)] + [(100, [1.0, 2.0]), (120, [2.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 3 * 20 and {r.query_id for r in got} == {0, 20, 40}
