@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnflow import model as M
 from cairnflow.functions import scalar as S
+from cairnflow.operators import graph
 
 KEY = ["sobject", "record_id"]
 
@@ -56,11 +57,13 @@ def layered(keys: DataFrame, state: DataFrame, snapshot: DataFrame) -> DataFrame
 
 def resync(requested: DataFrame, snapshot: DataFrame) -> DataFrame:
     """For requested records (sobject, record_id): upserted with the snapshot's fields, or deleted where it has
-    none. Requests go in chunks of 200 by order of id, and an invalid id fails all of its chunk."""
+    none. Requests go in chunks of 200 by order of id, and an invalid id fails all of its chunk. Ranges of them are
+    sorted apart and numbered on from each other, so an object with most of the records is not one task's."""
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.partitionBy("sobject").orderBy("record_id")) - 1
-    chunked = requested.distinct().withColumn("chunk", F.floor(place / M.CHUNK))
+    placed = graph.numbered(requested.distinct(), F.col("sobject").asc(), F.col("record_id").asc())
+    first = placed.groupBy("sobject").agg(F.min("number").alias("_first"))  # a row an object
+    chunked = placed.join(first, "sobject").withColumn("chunk", F.floor((F.col("number") - F.col("_first")) / M.CHUNK)).select(*requested.columns, "chunk")
     failed = F.bool_or(~S.is_record_id(F.col("record_id"))).over(W.partitionBy("sobject", "chunk"))
     found = chunked.withColumn("failed", failed).join(snapshot.select(*KEY, "fields"), KEY, "left")
     outcome = F.when(F.col("failed"), "failed").when(F.col("fields").isNull(), "deleted").otherwise("upserted")

@@ -133,8 +133,18 @@ def orphans(classes: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def orphans_contained(classes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``orphans`` with any occurrence counting: a join by containment, for a bounded list of bodies."""
-    return classes.join(F.broadcast(bodies), F.contains(F.col("body"), F.col("name")), "left_anti")
+    """``orphans`` with any occurrence counting. A body's stretches of the names' lengths meet the names by equality,
+    so no side is broadcast; a name of word characters only is sought in the distinct words of all bodies, each once."""
+    lengths = classes.select(F.length("name").alias("_n")).filter("_n is not null").distinct().agg(F.collect_set("_n")).scalar()
+    plain = F.coalesce(F.col("name").rlike("^[A-Za-z0-9_]+$"), F.lit(False))
+
+    def stretches(texts: DataFrame) -> DataFrame:
+        sized = texts.select("text", F.explode(lengths).alias("_n")).filter(F.length("text") >= F.col("_n"))
+        return sized.select("text", "_n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("_n") + 1)).alias("_at")).select(F.substring("text", F.col("_at"), F.col("_n")).alias("name")).distinct()
+
+    words = bodies.select(F.explode(F.array_distinct(F.split("body", r"[^A-Za-z0-9_]+"))).alias("text")).distinct()
+    found = classes.filter(plain).join(stretches(words), "name", "left_anti")
+    return found.unionByName(classes.filter(~plain).join(stretches(bodies.select(F.col("body").alias("text"))), "name", "left_anti"))
 
 
 #: Channels in the order in which they are asked, with their confidence.

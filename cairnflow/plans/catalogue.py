@@ -200,24 +200,17 @@ def quota_admission(spark, requests, alloc):
 
 
 @query("""WITH RECURSIVE sh AS (SELECT process_id, CAST(greatest(floor(300 * (weight / sum(weight) OVER ())) - consumed, 0) AS BIGINT) AS r FROM alloc),
-    n AS (SELECT process_id, seq, cost, row_number() OVER (PARTITION BY process_id ORDER BY seq, cost) AS k FROM (SELECT process_id, seq, max(cost) AS cost FROM requests WHERE seq % 97 < 3 GROUP BY 1, 2)),
+    n AS MATERIALIZED (SELECT process_id, seq, cost, row_number() OVER (PARTITION BY process_id ORDER BY seq, cost) AS k FROM (SELECT process_id, seq, max(cost) AS cost FROM requests GROUP BY 1, 2)),
     f AS (SELECT process_id, 0::BIGINT AS k, CAST(NULL AS BIGINT) AS seq, r AS budget, false AS admitted FROM sh UNION ALL
       SELECT n.process_id, n.k, n.seq, CASE WHEN cost <= budget THEN budget - cost ELSE budget END, cost <= budget FROM f JOIN n ON n.process_id = f.process_id AND n.k = f.k + 1)
     SELECT process_id, seq, admitted FROM f WHERE k > 0""".replace("WITH RECURSIVE", "WITH"), "requests", "alloc")
 def quota_sequential(spark, requests, alloc):
-    some = requests.filter("seq % 97 < 3").groupBy("process_id", "seq").agg(F.max("cost").alias("cost"))
-    return readiness.admit(some, readiness.quota(alloc, 300))
+    return readiness.admit(requests.groupBy("process_id", "seq").agg(F.max("cost").alias("cost")), readiness.quota(alloc, 300))
 
 
 SQL["quota_sequential"] = SQL["quota_sequential"].replace("WITH requests", "WITH RECURSIVE requests", 1)
 
 
-@query(None, "requests", "alloc")
-def quota_sequential_all(spark, requests, alloc):
-    """``quota_sequential`` over every request; recursive SQL can only hold the share that its oracle keeps."""
-    return readiness.admit(requests.groupBy("process_id", "seq").agg(F.max("cost").alias("cost")), readiness.quota(alloc, 300))
-
-
 _SAGA = """g AS (SELECT DISTINCT ON (saga_id, seq) * FROM saga ORDER BY saga_id, seq, kind, has_fn, raises), o AS (SELECT *, coalesce(bool_or(kind = 'requires_human') OVER (PARTITION BY saga_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM g),
     r AS (SELECT saga_id, seq, kind, CASE WHEN stopped THEN 'pending' WHEN kind = 'requires_human' THEN 'paused' WHEN kind = 'log_only' THEN 'ok' WHEN NOT has_fn OR raises THEN 'failed' ELSE 'ok' END AS outcome FROM o)"""
 
@@ -679,9 +672,9 @@ def dispatch_best_match(spark, part, supplier, orders):
     return corpus.dispatch_edges(orders.select(F.expr("concat('d', o_orderkey)").alias("developer_name"), fields.alias("fields")), names)
 
 
-@query("""WITH b AS (SELECT string_agg('call Cls' || l_partkey || '.run()', ' ') AS body FROM lineitem WHERE l_suppkey < 3 GROUP BY l_orderkey) SELECT api_name AS name FROM comp WHERE category = 'apex_class' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_split_to_array(body, '[^A-Za-z0-9_]+')) AS w FROM b) x WHERE x.w = api_name)""", "comp", "lineitem")
+@query("""WITH b AS (SELECT string_agg('call Cls' || l_partkey * 2 || '.run()', ' ') AS body FROM lineitem GROUP BY l_orderkey) SELECT api_name AS name FROM comp WHERE category = 'apex_class' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_split_to_array(body, '[^A-Za-z0-9_]+')) AS w FROM b) x WHERE x.w = api_name)""", "comp", "lineitem")
 def orphan_anti_join(spark, comp, lineitem):
-    bodies = lineitem.filter("l_suppkey < 3").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.expr("concat('call Cls', l_partkey, '.run()')")), " ").alias("body"))
+    bodies = lineitem.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.expr("concat('call Cls', l_partkey * 2, '.run()')")), " ").alias("body"))
     return corpus.orphans(comp.filter("category = 'apex_class'").select(F.col("api_name").alias("name")), bodies)
 
 
@@ -825,7 +818,9 @@ def graph_hub_union(spark, orders, comp):
     return graph.all_nodes(comp.select(F.col("component_id").cast("string").alias("node")), hubs)
 
 
-@query("""WITH RECURSIVE chain_placeholder AS (SELECT 1), b AS (SELECT DISTINCT src, dst FROM chain UNION SELECT dst, src FROM chain), r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""".replace("chain_placeholder AS (SELECT 1), ", "").replace("WITH RECURSIVE", "WITH"), "chain")
+# a component's smallest node has no smaller neighbour, so only such nodes need to spread
+@query("""WITH b AS (SELECT DISTINCT src, dst FROM chain UNION SELECT dst, src FROM chain), s AS (SELECT src FROM b GROUP BY 1 HAVING min(dst) >= src), r AS (SELECT src AS node, src AS c FROM s UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.node)
+    SELECT node, min(c) AS component FROM r GROUP BY 1""", "chain")
 def graph_components(spark, chain):
     return graph.components(chain)
 
@@ -833,18 +828,12 @@ def graph_components(spark, chain):
 SQL["graph_components"] = SQL["graph_components"].replace("WITH chain", "WITH RECURSIVE chain", 1)
 
 
-@query(None, "chain_all")
-def graph_components_all(spark, chain):
-    """``graph_components`` over every edge; recursive SQL can only hold the short pieces that its view keeps."""
-    return graph.components(chain)
-
-
-@query(None, "chain_all")
+@query(None, "chain")
 def graph_communities(spark, chain):
     return graph.communities(chain)
 
 
-@query(None, "chain_all")
+@query(None, "chain")
 def business_processes(spark, chain):
     members = graph.communities(chain)
     return graph.business_processes(members, members.select("node", F.expr("concat('cat', node % 3)").alias("category")))

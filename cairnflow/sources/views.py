@@ -38,8 +38,7 @@ VIEWS = {
         CROSS JOIN (SELECT 'type' AS field UNION ALL SELECT 'size' UNION ALL SELECT 'note') f
         WHERE (p_partkey + s.k) % 4 <> 0 AND NOT (f.field = 'note' AND s.source = 'salto')""",
     "edges": "SELECT DISTINCT concat('p', CAST(l_partkey AS STRING)) AS src, concat('s', CAST(l_suppkey AS STRING)) AS dst FROM {lineitem}",
-    "chain": "SELECT l_partkey AS src, l_partkey + l_linenumber AS dst FROM {lineitem} WHERE l_partkey % 10 + l_linenumber < 10",
-    "chain_all": "SELECT l_partkey AS src, l_partkey + l_linenumber AS dst FROM {lineitem}",
+    "chain": "SELECT l_partkey AS src, l_partkey + l_linenumber AS dst FROM {lineitem}",
     "cfg": """SELECT n_name AS process_id, CAST(CASE n_nationkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 25 WHEN 4 THEN 50 ELSE 100 END AS INT) AS stage_percent,
         concat('seed', CAST(n_nationkey AS STRING)) AS hash_seed, CAST('2024-01-01 00:00:00' AS {ntz}) AS entered_stage_at, n_nationkey FROM {nation}""",
     "traffic": "SELECT n_name AS process_id, concat('r', CAST(o_orderkey AS STRING)) AS record_id FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 4 OR o_orderkey % 2 = 0",
