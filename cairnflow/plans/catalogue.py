@@ -1,44 +1,20 @@
-"""Every operator as a named query over the driver tables, with the SQL that it is compared with.
-
-``@query(sql, view, ...)`` registers a function of (spark, view ...) DataFrames; the SQL sees the same views.
-"""
+"""Every operator as a named query over the driver tables, with the SQL that it is compared with; those over
+definition files are in ``scans``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow import model as M
 from cairnflow.functions import formula as L
 from cairnflow.functions import scalar as S
 from cairnflow.operators import cdc, corpus, graph, logs, readiness, rules
+from cairnflow.plans import scans  # noqa: F401  registers its queries
+from cairnflow.plans.registry import NOW, QUERIES, SQL, query  # noqa: F401
 from cairnflow.session import SETTINGS, shared_path
 from cairnflow.sources import changes
-from cairnflow.sources.views import VIEWS, as_cte, view
 from cairnflow.streaming import shadow
 
-#: The moment that queries take as now.
-NOW = "2024-01-31 00:00:00"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None, *views: str):
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, *(view(spark, sf_dir, v) for v in views))
-
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ctes = [v for v in views if v in VIEWS]
-            SQL[f.__name__] = sql if not ctes else f"{as_cte(*ctes)}{', ' + sql[5:] if sql.upper().startswith('WITH ') else ' ' + sql}"
-        return f
-
-    return register
-
-
 def joined(c) -> F.Column:
     return F.array_join(c, ",")
 

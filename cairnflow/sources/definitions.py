@@ -19,7 +19,7 @@ PATHS = [
     ("formula_field", r"/fields/[^/]+\.field-meta\.xml$"), ("workflow_rule", r"\.workflow-meta\.xml$"), ("assignment_rule", r"\.assignmentRules-meta\.xml$"),
     ("auto_response_rule", r"\.autoResponseRules-meta\.xml$"), ("escalation_rule", r"\.escalationRules-meta\.xml$"), ("sharing_rule", r"\.sharingRules-meta\.xml$"),
     ("approval_process", r"\.approvalProcess-meta\.xml$"), ("flow", r"\.flow-meta\.xml$"), ("apex_trigger", r"\.trigger-meta\.xml$"), ("apex_class", r"\.cls-meta\.xml$"),
-    ("platform_event", r"__e\.object-meta\.xml$"),
+    ("platform_event", r"/objects/[^/]*__e/[^/]+\.object-meta\.xml$"),
 ]
 SUFFIX = r"\.(validationRule|field|workflow|assignmentRules|autoResponseRules|escalationRules|sharingRules|approvalProcess|flow|trigger|cls|object)-meta\.xml$"
 
@@ -29,10 +29,10 @@ FLOW = """struct<apiVersion:string,processType:string,status:string,start:struct
     actionCalls:array<struct<name:string,actionName:string>>,subflows:array<struct<flowName:string>>,screens:array<struct<name:string>>>"""
 SCHEMAS = {
     "validation_rule": "struct<fullName:string,active:string,description:string,errorConditionFormula:string,errorDisplayField:string,errorMessage:string>",
-    "formula_field": "struct<fullName:string,label:string,type:string,formula:string,formulaTreatBlanksAs:string,summarizedField:string,summaryForeignKey:string,summaryOperation:string>",
-    "workflow_rule": """struct<rules:array<struct<fullName:string,active:string,formula:string,criteriaItems:array<struct<field:string,operation:string,value:string>>,actions:array<struct<name:string,type:string>>>>,
-        fieldUpdates:array<struct<fullName:string,field:string,literalValue:string,formula:string>>,alerts:array<struct<fullName:string>>,tasks:array<struct<fullName:string>>,outboundMessages:array<struct<fullName:string>>>""",
-    "assignment_rule": """struct<assignmentRule:array<struct<fullName:string,active:string,ruleEntry:array<struct<assignedTo:string,assignedToType:string,formula:string,criteriaItems:array<struct<field:string,operation:string,value:string>>>>>>>""",
+    "formula_field": "struct<fullName:string,label:string,type:string,formula:string,formulaTreatBlanksAs:string,externalId:string,summarizedField:string,summaryForeignKey:string,summaryOperation:string>",
+    "workflow_rule": """struct<rules:array<struct<fullName:string,active:string,triggerType:string,formula:string,criteriaItems:array<struct<field:string,operation:string,value:string>>,actions:array<struct<name:string,type:string>>>>,
+        fieldUpdates:array<struct<fullName:string,field:string,literalValue:string,formula:string,operation:string,reevaluateOnChange:string,targetObject:string>>,emailAlerts:array<struct<fullName:string,template:string>>,tasks:array<struct<fullName:string,subject:string>>,outboundMessages:array<struct<fullName:string,endpointUrl:string>>>""",
+    "assignment_rule": """struct<assignmentRule:array<struct<fullName:string,active:string,ruleEntries:array<struct<assignedTo:string,assignedToType:string,formula:string,criteriaItems:array<struct<field:string,operation:string,value:string>>>>,ruleEntry:array<struct<assignedTo:string,assignedToType:string,formula:string,criteriaItems:array<struct<field:string,operation:string,value:string>>>>>>>""",
     "flow": FLOW,
 }
 
@@ -45,25 +45,29 @@ def files(spark: SparkSession, *folders: str) -> DataFrame:
 
 
 def flow_variant(text: Column) -> Column:
-    """The category of a flow by what its text says."""
+    """The category of a flow by what its text says, the more special ones first; null for a flow of no known kind."""
     has = lambda s: F.contains(text, F.lit(s))
+    kind = lambda s: has(f"<processType>{s}</processType>")
     return (
-        F.when(has("<processType>Orchestrator</processType>"), "flow_orchestration")
-        .when(has("<processType>Workflow</processType>"), "process_builder")
-        .when(has("<triggerType>PlatformEvent"), "platform_event_triggered_flow")
+        F.when(has("<processType>RecordTriggered") | has("<triggerType>Record"), "record_triggered_flow")
         .when(has("<processType>ScheduleTriggered"), "schedule_triggered_flow")
-        .when(has("<processType>RecordTriggered") | has("<triggerType>Record"), "record_triggered_flow")
-        .when(has("<screens>"), "screen_flow")
-        .otherwise("autolaunched_flow")
+        .when(has("<triggerType>PlatformEvent"), "platform_event_triggered_flow")
+        .when(kind("Flow") & has("<screens>"), "screen_flow")
+        .when(kind("Orchestrator"), "flow_orchestration")
+        .when(kind("Workflow"), "process_builder")
+        .when(kind("AutoLaunchedFlow") & ~has("<screens>"), "autolaunched_flow")
     )
 
 
 def categorised(found: DataFrame) -> DataFrame:
-    """Files with their category; files of no category are left out. A field is a formula or a roll-up, or neither."""
+    """Files with their category; files of no category are left out. A field is a formula or a roll-up, or neither;
+    an object is an event only if its text says how events are published or deployed."""
     path, text = F.col("path"), F.col("content")
+    has = lambda s: F.contains(text, F.lit(s))
     by_path = reduce(lambda w, p: w.when(path.rlike(p[1]), p[0]), PATHS[1:], F.when(path.rlike(PATHS[0][1]), PATHS[0][0]))
-    field = F.when(F.contains(text, F.lit("<summaryOperation>")), "rollup_summary").when(F.contains(text, F.lit("<formula>")), "formula_field")
-    kind = F.when(by_path == "flow", flow_variant(text)).when(by_path == "formula_field", field).otherwise(by_path)
+    field = F.when(has("<summaryOperation>"), "rollup_summary").when(has("<formula>"), "formula_field")
+    event = F.when(has("<eventType>") | has("<deploymentStatus>"), "platform_event")
+    kind = F.when(by_path == "flow", flow_variant(text)).when(by_path == "formula_field", field).when(by_path == "platform_event", event).otherwise(by_path)
     return found.withColumn("category", kind).filter("category is not null")
 
 
@@ -95,32 +99,66 @@ def parsed(found: DataFrame, category: str) -> DataFrame:
     return rows.select("path", "category", api_name(F.col("path")).alias("api_name"), object_of(F.col("path")).alias("sobject"), F.from_xml("content", kind, {"mode": "PERMISSIVE"}).alias("doc"))
 
 
-def _yes(x: Column) -> Column:
-    return F.lower(F.coalesce(x, F.lit("true"))) == "true"
+def _yes(x: Column, default: str = "true") -> Column:
+    return F.lower(F.coalesce(x, F.lit(default))) == "true"
+
+
+def _or(x: Column, default: str = "") -> Column:
+    return F.coalesce(x, F.lit(default))
+
+
+def _blank_as_null(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))
+
+
+def _each(x: Column, row) -> Column:
+    """``row`` of every element that is there; no elements where there is no list."""
+    return F.coalesce(F.transform(x, row), F.slice(F.array(row(F.get(x, F.lit(0)))), 2, 1))
 
 
 def validation_rules(found: DataFrame) -> DataFrame:
     d = lambda c: F.col(f"doc.{c}")
-    return parsed(found, "validation_rule").select("path", "api_name", "sobject", _yes(d("active")).alias("active"), d("errorConditionFormula").alias("formula"), F.coalesce(d("errorMessage"), F.lit("")).alias("message"), d("errorDisplayField").alias("display_field"))
+    return parsed(found, "validation_rule").select(
+        "path", "api_name", "sobject", _yes(d("active")).alias("active"), _or(d("description")).alias("description"), _or(d("errorConditionFormula")).alias("formula"), _or(d("errorMessage")).alias("message"),
+        d("errorDisplayField").alias("display_field"),
+    )
 
 
 def formula_fields(found: DataFrame) -> DataFrame:
     d = lambda c: F.col(f"doc.{c}")
-    return parsed(found, "formula_field").select("path", "api_name", "sobject", F.coalesce(d("label"), F.lit("")).alias("label"), d("type").alias("type"), d("formula").alias("formula"), F.coalesce(d("formulaTreatBlanksAs"), F.lit("")).alias("treat_blanks_as"))
+    return parsed(found, "formula_field").select(
+        "path", "api_name", "sobject", F.coalesce(d("fullName"), "api_name").alias("field_name"), _or(d("label")).alias("label"), _or(d("type"), "Formula").alias("type"), _or(d("formula")).alias("formula"),
+        _or(d("formulaTreatBlanksAs"), "BlankAsZero").alias("treat_blanks_as"), _or(d("type"), "Text").alias("return_type"), _yes(d("externalId"), "false").alias("external_id"),
+    )
+
+
+def _criteria(x: Column) -> Column:
+    return _each(x, lambda c: F.struct(_or(c["field"]).alias("field"), _or(c["operation"]).alias("operation"), _or(c["value"]).alias("value")))
 
 
 def workflow_rules(found: DataFrame) -> DataFrame:
-    empty = lambda c, kind: F.coalesce(F.col(f"doc.{c}"), F.array().cast(kind))
-    rows = parsed(found, "workflow_rule")
-    kinds = {f.name: f.dataType for f in rows.schema["doc"].dataType}
-    named = {"rules": "rules", "fieldUpdates": "field_updates", "alerts": "alerts", "tasks": "tasks", "outboundMessages": "messages"}
-    return rows.select("path", F.col("api_name").alias("sobject"), *(empty(c, kinds[c]).alias(n) for c, n in named.items()))
+    """One row a file, whose rules and actions are those of one object. A rule has a formula or criteria."""
+    rule = lambda r: F.struct(
+        _or(r["fullName"]).alias("fullName"), _yes(r["active"]).alias("active"), _or(r["triggerType"], "onCreateOnly").alias("triggerType"), _blank_as_null(r["formula"]).alias("formula"), _criteria(r["criteriaItems"]).alias("criteriaItems"),
+        _each(r["actions"], lambda a: F.struct(_or(a["name"]).alias("name"), _or(a["type"]).alias("type"))).alias("actions"),
+    )
+    update = lambda u: F.struct(
+        _or(u["fullName"]).alias("fullName"), _or(u["field"]).alias("field"), _or(u["literalValue"]).alias("literalValue"), _blank_as_null(u["formula"]).alias("formula"), _or(u["operation"]).alias("operation"),
+        _yes(u["reevaluateOnChange"], "false").alias("reevaluateOnChange"), _or(u["targetObject"]).alias("targetObject"),
+    )
+    named = lambda c, other: _each(F.col(f"doc.{c}"), lambda x: F.struct(_or(x["fullName"]).alias("name"), _or(x[other]).alias(other)))
+    return parsed(found, "workflow_rule").select(
+        "path", F.col("api_name").alias("sobject"), _each(F.col("doc.rules"), rule).alias("rules"), _each(F.col("doc.fieldUpdates"), update).alias("field_updates"), named("emailAlerts", "template").alias("alerts"),
+        named("tasks", "subject").alias("tasks"), named("outboundMessages", "endpointUrl").alias("messages"),
+    )
 
 
 def assignment_rules(found: DataFrame) -> DataFrame:
-    rows = parsed(found, "assignment_rule")
-    group = lambda g: F.struct(g["fullName"].alias("name"), _yes(g["active"]).alias("active"), g["ruleEntry"].alias("entries"))
-    return rows.select("path", F.col("api_name").alias("sobject"), F.transform("doc.assignmentRule", group).alias("groups"))
+    """One row a file, with its groups and their entries in the file's order. Entries are ``ruleEntries`` elements, or
+    ``ruleEntry`` ones where a group has none of the former."""
+    entry = lambda e: F.struct(_or(e["assignedTo"]).alias("assignedTo"), _or(e["assignedToType"], "User").alias("assignedToType"), _blank_as_null(e["formula"]).alias("formula"), _criteria(e["criteriaItems"]).alias("criteriaItems"))
+    group = lambda g: F.struct(_or(g["fullName"]).alias("name"), _yes(g["active"]).alias("active"), _each(F.coalesce(g["ruleEntries"], g["ruleEntry"]), entry).alias("entries"))
+    return parsed(found, "assignment_rule").select("path", F.col("api_name").alias("sobject"), _each(F.col("doc.assignmentRule"), group).alias("groups"))
 
 
 def flat_value(value: Column) -> Column:
@@ -130,13 +168,13 @@ def flat_value(value: Column) -> Column:
 
 def flows(found: DataFrame, category: str) -> DataFrame:
     """Flows of a category: trigger, counts of their parts, and the fields that their updates set."""
-    n = lambda c: F.coalesce(F.size(F.col(f"doc.{c}")), F.lit(0))
     rows = parsed(found, category)
-    sets = F.flatten(F.transform("doc.recordUpdates", lambda u: F.transform(u["inputAssignments"], lambda a: F.struct(a["field"].alias("field"), flat_value(a["value"]).alias("value")))))
-    size = lambda c: F.when(F.col(f"doc.{c}").isNull(), 0).otherwise(n(c))
+    sets = F.flatten(_each(F.col("doc.recordUpdates"), lambda u: _each(u["inputAssignments"], lambda a: F.struct(_or(a["field"]).alias("field"), flat_value(a["value"]).alias("value")))))
+    size = lambda c: F.when(F.col(f"doc.{c}").isNull(), 0).otherwise(F.size(F.col(f"doc.{c}")))
+    d = lambda c, default="": _or(F.col(f"doc.{c}"), default)
     return rows.select(
-        "path", "category", "api_name", F.col("doc.start.object").alias("sobject"), F.col("doc.start.triggerType").alias("trigger_type"), F.col("doc.processType").alias("process_type"), F.col("doc.status").alias("status"),
-        size("decisions").alias("decisions"), (size("recordUpdates") + size("recordCreates")).alias("dml"), size("actionCalls").alias("action_calls"), size("subflows").alias("subflows"), size("screens").alias("screens"), sets.alias("sets"),
+        "path", "category", "api_name", d("apiVersion", "66.0").alias("api_version"), d("start.object").alias("sobject"), d("start.triggerType").alias("trigger_type"), d("processType").alias("process_type"), d("status", "Active").alias("status"),
+        size("decisions").alias("decisions"), size("recordLookups").alias("lookups"), (size("recordUpdates") + size("recordCreates")).alias("dml"), size("actionCalls").alias("action_calls"), size("subflows").alias("subflows"), size("screens").alias("screens"), sets.alias("sets"),
     )
 
 

@@ -15,7 +15,35 @@ _CATEGORY = "CASE p_partkey % 21 " + " ".join(f"WHEN {k} THEN '{c[0]}'" for k, c
 _SEVERITY = "CASE WHEN {0} THEN least(100, CAST(floor(value) AS INT)) ELSE 0 END"
 _MILD = "(event_type = 'error' AND event_id % (CASE user_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 20 ELSE 40 END) = 0)"
 
+#: Definition files made of parts: path and text, k and z standing for a part's key and size.
+_FILES = [
+    ("'objects/Obj', z, '/validationRules/V', k, '.validationRule-meta.xml'", "'<ValidationRule xmlns=\"urn:m\"><fullName>V', k, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN '</fullName><active>True</active><description> d ' ELSE '</fullName><active>false</active><description>' END, CASE WHEN p_size % 3 = 0 THEN '</fullName>' ELSE '</description>' END, '<errorConditionFormula>Amount &lt; ', z, '</errorConditionFormula>', CASE WHEN p_size % 4 = 0 THEN '' ELSE '<errorMessage>too small</errorMessage>' END, '</ValidationRule>'"),
+    ("'objects/Obj', z, '/fields/F', k, '__c.field-meta.xml'", "'<CustomField>', CASE WHEN p_size % 2 = 0 THEN concat('<fullName>G', k, '</fullName><type>Number</type><externalId>TRUE</externalId>') ELSE '<label>L</label><formulaTreatBlanksAs>BlankAsBlank</formulaTreatBlanksAs>' END, '<formula>Amount / ', z, '</formula></CustomField>'"),
+    ("'objects/Obj', z, '/fields/R', k, '__c.field-meta.xml'", "'<CustomField><formula>x</formula><summaryOperation>count</summaryOperation></CustomField>'"),
+    ("'workflows/W', k, '.workflow-meta.xml'", "'<Workflow><rules><fullName>a</fullName><criteriaItems><field>F', z, '</field><operation>equals</operation><value>1</value></criteriaItems>', CASE WHEN p_size % 2 = 0 THEN '<criteriaItems><field>G</field></criteriaItems>' ELSE '' END, '<actions><name>u</name><type>FieldUpdate</type></actions></rules><rules><fullName>b</fullName><active>false</active><formula>TRUE</formula></rules><fieldUpdates><fullName>u</fullName><field>Status</field><literalValue>', z, '</literalValue></fieldUpdates>', CASE WHEN p_size % 5 = 0 THEN '<emailAlerts><fullName>m</fullName></emailAlerts>' ELSE '' END, '</Workflow>'"),
+    ("'assignmentRules/A', k, '.assignmentRules-meta.xml'", "'<AssignmentRules><assignmentRule><fullName>g</fullName><ruleEntries><assignedTo>q', z, '</assignedTo></ruleEntries><ruleEntries><assignedTo>u</assignedTo><assignedToType>Queue</assignedToType><formula>X</formula></ruleEntries></assignmentRule>', CASE WHEN p_size % 2 = 0 THEN '<assignmentRule><fullName>h</fullName><active>no</active></assignmentRule>' ELSE '' END, '</AssignmentRules>'"),
+    ("'flows/N', k, '.flow-meta.xml'", "'<Flow><processType>AutoLaunchedFlow</processType><status>Draft</status><start><object>Obj', z, '</object><triggerType>RecordAfterSave</triggerType></start><decisions><name>d</name></decisions><decisions><name>e</name></decisions><recordUpdates><name>u</name><inputAssignments><field>A</field><value><numberValue>', z, '</numberValue></value></inputAssignments><inputAssignments><field>B</field><value><elementReference>$r</elementReference></value></inputAssignments></recordUpdates><recordCreates><name>c</name></recordCreates></Flow>'"),
+    ("'flows/S', k, '.flow-meta.xml'", "'<Flow><processType>Flow</processType><screens><name>s</name></screens></Flow>'"),
+    ("'flows/T', k, '.flow-meta.xml'", "'<Flow><processType>ScheduleTriggered</processType><screens><name>s</name></screens></Flow>'"),
+    ("'flows/E', k, '.flow-meta.xml'", "'<Flow><processType>AutoLaunchedFlow</processType><start><triggerType>PlatformEvent</triggerType></start></Flow>'"),
+    ("'flows/O', k, '.flow-meta.xml'", "'<Flow><processType>Orchestrator</processType></Flow>'"),
+    ("'flows/P', k, '.flow-meta.xml'", "'<Flow><processType>Workflow</processType></Flow>'"),
+    ("'flows/L', k, '.flow-meta.xml'", "'<Flow><processType>AutoLaunchedFlow</processType></Flow>'"),
+    ("'sharingRules/H', k, '.sharingRules-meta.xml'", "CASE WHEN p_size % 2 = 0 THEN '<SharingRules><a>1</a></SharingRules>' ELSE 'broken <x' END"),
+    ("'objects/Ev', k, '__e/Ev', k, '__e.object-meta.xml'", "CASE WHEN p_size % 2 = 0 THEN '<CustomObject><eventType>HighVolume</eventType></CustomObject>' ELSE '<CustomObject/>' END"),
+    ("'lwc/b', z, '/c', k, '.js'", "'export ', k"),
+    ("'classes/C', k, '.cls-meta.xml'", "'<ApexClass/>'"),
+    ("'flows/X', k, '.flow-meta.xml'", "'<Flow><processType>Flow</processType></Flow>'"),
+    ("'notes/', k, '.txt'", "'nothing'"),
+]
+
+
+def _pick(which: int) -> str:
+    return f"CASE p_partkey % {len(_FILES)} " + " ".join(f"WHEN {n} THEN concat({f[which]})" for n, f in enumerate(_FILES)) + " END"
+
+
 VIEWS = {
+    "defs": f"SELECT p_partkey, p_size, k, z, concat('/org/', {_pick(0)}) AS path, {_pick(1)} AS content FROM (SELECT p_partkey, p_size, CAST(p_partkey AS STRING) AS k, CAST(p_size AS STRING) AS z FROM {{part}}) p",
     "obs": f"SELECT event_id AS id, concat('p', CAST(user_id % 5 AS STRING)) AS process_id, ts AS observed_at, event_type = 'error' AS diverged, {_SEVERITY.format("event_type = 'error'")} AS severity, event_type FROM {{events}}",
     "obs_mild": f"SELECT event_id AS id, concat('p', CAST(user_id % 5 AS STRING)) AS process_id, ts AS observed_at, {_MILD} AS diverged, {_SEVERITY.format(_MILD)} AS severity FROM {{events}}",
     "cdc": """SELECT event_id, lpad(CAST(event_id AS STRING), 20, '0') AS replay_id,
