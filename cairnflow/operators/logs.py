@@ -5,7 +5,7 @@ Lines: file, line_no, value. Every order is within a file, so files are the unit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,6 +77,32 @@ def compare(logged: DataFrame, predicted: DataFrame) -> DataFrame:
     return rows.select("file", "txn", only_log.alias("only_in_log"), only_rules.alias("only_in_rules"), (~clean).alias("diverged"), F.when(clean, 0).otherwise(50).alias("severity"), F.when(~clean, "ooe_ordering_mismatch").alias("category"))
 
 
+def explanation(only_log: Column, only_rules: Column, aborted: Column, log_clean: Column) -> Column:
+    """How a transaction's two sides differ, in words."""
+    listed = lambda xs: F.concat(F.lit("['"), F.array_join(xs, "', '"), F.lit("']"))
+    parts = (
+        F.when(F.size(only_rules) > 0, F.concat(F.lit("runtime fired but log did not: "), listed(only_rules))), F.when(F.size(only_log) > 0, F.concat(F.lit("log fired but runtime did not: "), listed(only_log))),
+        F.when(aborted & log_clean, "runtime aborted; production accepted the txn"),
+    )
+    same = (F.size(only_rules) == 0) & (F.size(only_log) == 0)
+    return F.when(same, "runtime + log agree on validation outcomes").otherwise(F.concat_ws("; ", *parts))
+
+
+def replay(logged: DataFrame, states: DataFrame, rules: list) -> DataFrame:
+    """``compare`` with what the rules say: they run over the transactions' records (file, txn, fields). A transaction
+    of several records fails where one of them does; one without a record fails no rule. Adds failed, aborted and
+    explanation."""
+    from cairnflow.operators.rules import run
+
+    missed = F.transform(F.filter("_results", lambda x: (x["kind"] == "validation") & ~x["passed"]), lambda x: x["rule_id"])
+    predicted = run(states, rules).groupBy("file", "txn").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(missed)))).alias("failed"), F.bool_or("_aborted").alias("aborted"))
+    empty = F.array().cast("array<string>")
+    known = logged.select("file", "txn", (F.size(F.coalesce("failures", empty)) == 0).alias("_log_clean"))
+    rows = compare(logged, predicted).join(predicted, ["file", "txn"], "left").join(known, ["file", "txn"])
+    rows = rows.withColumns({"failed": F.coalesce("failed", empty), "aborted": F.coalesce("aborted", F.lit(False))})
+    return rows.withColumn("explanation", explanation(F.col("only_in_log"), F.col("only_in_rules"), F.col("aborted"), F.col("_log_clean"))).drop("_log_clean")
+
+
 def replay_summary(compared: DataFrame) -> DataFrame:
     """Totals and the clean share as a whole percent, rounded down."""
     return compared.agg(F.count(F.lit(1)).alias("total"), F.count_if("diverged").alias("diverged")).withColumn("clean_percent", F.when(F.col("total") == 0, 0).otherwise(F.floor((F.col("total") - F.col("diverged")) * 100 / F.greatest("total", F.lit(1)))).cast("long"))

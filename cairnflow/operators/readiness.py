@@ -201,6 +201,27 @@ def parity_findings(divergences: DataFrame) -> DataFrame:
     )
 
 
+def _expected(rows: DataFrame, finding_id: Column, category: str, production: Column, runtime: str, rationale: str, severity: str) -> DataFrame:
+    return rows.select(
+        finding_id.alias("finding_id"), F.lit(category).alias("category"), production.alias("production_behavior"), F.lit(runtime).alias("runtime_behavior"), F.lit(rationale).alias("rationale"),
+        F.lit(severity).alias("severity"), F.lit("open").alias("customer_disposition"),
+    )
+
+
+def excluded_step_findings(audit: DataFrame) -> DataFrame:
+    """A finding for each step of an audit (step, step_name, in_scope) that is out of scope."""
+    production = F.concat(F.lit("OoE step "), F.col("step").cast("string"), F.lit(" ("), "step_name", F.lit(") executes for matching transactions"))
+    why = "No component exercises the step, so it is left out and refused where it turns up."
+    return _expected(audit.filter("not in_scope"), F.concat(F.lit("excluded-step-"), F.col("step").cast("string")), M.PARITY_CATEGORIES[0], production, "Runtime explicitly refuses transactions exercising this step (StepNotInScopeError)", why, "info")
+
+
+def limit_findings(limits: DataFrame) -> DataFrame:
+    """A finding for each platform limit (limit) that production has and the runtime has not."""
+    production = F.concat(F.lit("Production enforces governor limit: "), "limit")
+    runtime = "Runtime does not enforce this limit; transactions that would exceed it in production execute to completion externally"
+    return _expected(limits, F.concat(F.lit("limit-"), "limit"), M.PARITY_CATEGORIES[2], production, runtime, "Doing without the platform's limits is meant.", "minor")
+
+
 def nearest_rank(samples: DataFrame, value: str, percents: list[int], by: list[str] = ()) -> DataFrame:
     """Latency percentiles: the element at index int(n * p / 100), clamped, of the sorted samples. Found by rank
     over distinct values and their counts, not by collecting a group."""

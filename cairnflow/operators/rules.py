@@ -241,6 +241,17 @@ def run(records: DataFrame, rules: list[Rule], excluded: tuple[int, ...] = (), a
     return df.withColumn("_results", shown)
 
 
+def trace(txn: Column, sobject: Column, depth: Column | None = None, cascaded: Column | None = None) -> Column:
+    """What ``run`` did with a record, as lines of text; ``depth`` and ``cascaded`` count child saves and DML."""
+    told = lambda x: F.when(x, "True").otherwise("False")
+    number = lambda x: F.coalesce(x if x is not None else F.lit(0), F.lit(0)).cast("string")
+    line = lambda name, value: F.concat(F.lit(name + "="), value)
+    return F.array(
+        line("txn", txn.cast("string")), line("sobject", sobject), line("refire", told(F.col("_refired"))), line("refire_done", told(F.col("_refired"))), line("cascade_depth", number(depth)),
+        line("rule_results", F.size("_results").cast("string")), line("cascaded_dml", number(cascaded)), F.concat(F.lit("aborted="), told(F.col("_aborted")), F.lit("("), F.coalesce("_abort_reason", F.lit("None")), F.lit(")")),
+    )
+
+
 def _groups(own: list[Rule]) -> list[list[Rule]]:
     """Runs of rules that commute; each is one projection."""
     groups: list[list[Rule]] = []

@@ -379,6 +379,18 @@ def parity_findings(spark, rows):
     return readiness.parity_findings(seen).select("finding_id", "category", "severity", "rationale", "runtime_behavior")
 
 
+_AUDIT = "(SELECT n_nationkey AS step, 'step ' || n_nationkey AS step_name, n_nationkey % 2 = 0 AS in_scope FROM nation)"
+
+
+@query(f"""SELECT 'excluded-step-' || step AS finding_id, 'deliberate_simplification' AS category, 'OoE step ' || step || ' (' || step_name || ') executes for matching transactions' AS production_behavior,
+    'Runtime explicitly refuses transactions exercising this step (StepNotInScopeError)' AS runtime_behavior, 'info' AS severity, 'open' AS customer_disposition FROM {_AUDIT} WHERE NOT in_scope
+    UNION ALL SELECT 'limit-' || r_name, 'platform_imposed_deviation', 'Production enforces governor limit: ' || r_name, 'Runtime does not enforce this limit; transactions that would exceed it in production execute to completion externally', 'minor', 'open' FROM region""", "nation", "region")
+def parity_expected(spark, nation, region):
+    audit = nation.selectExpr("n_nationkey AS step", "concat('step ', n_nationkey) AS step_name", "n_nationkey % 2 = 0 AS in_scope")
+    both = readiness.excluded_step_findings(audit).unionByName(readiness.limit_findings(region.select(F.col("r_name").alias("limit"))))
+    return both.drop("rationale")
+
+
 # --- formulas ---------------------------------------------------------------------------------------------------
 
 
@@ -450,6 +462,21 @@ def formula_value(spark, rows):
     return _formulas(rows.select("event_id", F.col("amount").cast("string").alias("a"), "status"), "event_id", v="VALUE(a)", w="VALUE(status)")
 
 
+@query("""SELECT event_id, coalesce(amount > 100, false) OR status = 'click' AS o, amount IS NULL AS o_error, coalesce(amount, 0) = 0 AS n, false AS n_error, status = 'view' AS p, false AS p_error, coalesce(amount, 7)::BIGINT AS v, false AS v_error,
+    lower(upper(status)) AS l, false AS l_error, status AS t, false AS t_error FROM cdc""", "cdc")
+def formula_functions(spark, rows):
+    """A failing formula has no value; the first one counts as its second operand here."""
+    made = L.evaluate(rows.select("event_id", "amount", "status"), o='OR(amount > 100, status = "click")', n="NOT(amount)", p='ISPICKVAL(status, "view")', v="NULLVALUE(amount, 7)", l="LOWER(UPPER(status))", t='TRIM("  " + status + " ")')
+    return made.withColumn("o", F.coalesce("o", F.col("status") == "click")).select("event_id", *(f"{c}{e}" for c in "onpvlt" for e in ("", "_error")))
+
+
+@query("SELECT event_id, '2024-01-31' AS today, CAST(0 AS BIGINT) AS late FROM cdc", "cdc")
+def formula_today_now(spark, rows):
+    """Both functions at a given moment."""
+    at = lambda text: L.compile_formula(text, rows.schema, as_of=NOW).value
+    return rows.select("event_id", at("TODAY()").cast("string").alias("today"), (F.unix_timestamp(at("NOW()")) - F.unix_timestamp(F.lit(NOW).cast("timestamp"))).alias("late"))
+
+
 # --- rules ------------------------------------------------------------------------------------------------------
 
 _OPP_RULES = [
@@ -512,6 +539,14 @@ def rule_refire_pipeline(spark, rec):
     return done.select("id", F.col("_aborted").alias("aborted"), F.col("Net").alias("net"), F.col("OwnerId").alias("owner"), F.col("Status").alias("status"), F.col("_refired").alias("refired"), F.size("_results").alias("n_results"))
 
 
+@query("""SELECT id, concat_ws('|', 'txn=' || id, 'sobject=Opp', 'refire=' || CASE WHEN refired THEN 'True' ELSE 'False' END, 'refire_done=' || CASE WHEN refired THEN 'True' ELSE 'False' END, 'cascade_depth=0', 'rule_results=' || CASE WHEN aborted THEN 3 ELSE 4 END, 'cascaded_dml=0',
+    'aborted=' || CASE WHEN aborted THEN 'True(validation failed: ' || concat_ws('; ', CASE WHEN Amount < 20000 THEN 'amount too small' END, CASE WHEN Stage = 'P' THEN 'still pending' END) || ')' ELSE 'False(None)' END) AS trace
+    FROM (SELECT *, Amount < 20000 OR Stage = 'P' AS aborted, NOT (Amount < 20000 OR Stage = 'P') AND (Amount > 150000 OR (starts_with(Segment, 'BUILD') AND Balance > 0)) AS refired FROM rec_opp)""", "rec_opp")
+def rule_trace(spark, rec):
+    done = rules.run(rec, [*_OPP_RULES, _WORKFLOW])
+    return done.select("id", F.array_join(rules.trace(F.col("id"), F.lit("Opp")), "|").alias("trace"))
+
+
 @query("""SELECT txn, seq, sobject, record_id, row_number() OVER (PARTITION BY txn, sobject, coalesce(nullif(record_id, ''), CAST(txn AS VARCHAR)) ORDER BY seq) = 1 AS fires FROM saves""", "saves")
 def rule_once_per_entity(spark, saves):
     return rules.once_per_entity(saves)
@@ -857,6 +892,19 @@ def log_compare(spark, lines):
     return _compared(lines).select("file", "txn", joined("only_in_log").alias("only_in_log"), joined("only_in_rules").alias("only_in_rules"), "diverged", "severity")
 
 
+_LISTED = "'[' || array_to_string(list_transform({0}, lambda x: chr(39) || x || chr(39)), ', ') || ']'"
+
+
+@query(f"""WITH {_COMPARED}, pick AS (SELECT file, txn, l, CASE WHEN txn % 2 = 0 THEN ['v_amount'] ELSE []::VARCHAR[] END AS r FROM t), d AS (SELECT *, list_sort(list_distinct(list_filter(l, lambda x: NOT list_contains(r, x)))) AS ol, list_sort(list_filter(r, lambda x: NOT list_contains(l, x))) AS orr FROM pick)
+    SELECT file, txn, array_to_string(r, ',') AS failed, len(r) > 0 AS aborted, len(ol) + len(orr) > 0 AS diverged, CASE WHEN len(ol) + len(orr) = 0 THEN 'runtime + log agree on validation outcomes' ELSE concat_ws('; ', CASE WHEN len(orr) > 0 THEN 'runtime fired but log did not: ' || {_LISTED.format("orr")} END,
+      CASE WHEN len(ol) > 0 THEN 'log fired but runtime did not: ' || {_LISTED.format("ol")} END, CASE WHEN len(r) > 0 AND len(l) = 0 THEN 'runtime aborted; production accepted the txn' END) END AS explanation FROM d""", "lines")
+def log_replay(spark, lines):
+    """The rules run over each transaction's record, and their failures meet those of the log."""
+    done = logs.transactions(logs.sessions(logs.classify(lines)))
+    states = done.select("file", "txn", F.when(F.col("txn") % 2 == 0, 10_000).otherwise(90_000).alias("Amount"), F.lit("F").alias("Stage"))
+    return logs.replay(done, states, _OPP_RULES[:2]).select("file", "txn", joined("failed").alias("failed"), "aborted", "diverged", "explanation")
+
+
 @query(f"WITH {_COMPARED} SELECT count(*) AS total, count(*) FILTER (len(ol) + len(orr) > 0) AS diverged, CAST(floor(count(*) FILTER (len(ol) + len(orr) = 0) * 100 / count(*)) AS BIGINT) AS clean_percent FROM cmp", "lines")
 def log_replay_summary(spark, lines):
     return logs.replay_summary(_compared(lines))

@@ -175,7 +175,7 @@ def test_graph_queries_take_every_edge(spark, sf):
     while any(label[a] != label[b] for a, b in edges):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in catalogue.QUERIES["graph_components_all"](spark, sf).collect()}
+    got = {r.node: r.component for r in catalogue.QUERIES["graph_components"](spark, sf).collect()}
     assert got == label and len(label) > 10 * len(set(label.values()))
     assert {r.node for r in catalogue.QUERIES["graph_communities"](spark, sf).collect()} == set(label)
     assert catalogue.QUERIES["business_processes"](spark, sf).agg(F.sum("size")).first()[0] == len(label)
@@ -198,3 +198,19 @@ def test_reports(spark, sf):
     board = reports.shadow_dashboard(view(spark, sf, "obs"), NOW)
     assert len(board["recent"]) == 200 and len(board["scores"]) == 5
     assert len(reports.compliance(view(spark, sf, "obs"), "p1", NOW)["score"]) == 1
+
+
+def test_names_within_bodies(spark):
+    names = ["Ab", "b", "Cls_1", "lass", "a b", "x.y", "", "zz", "longer than any body at all", None]
+    bodies = ["call Class()", "x.yAbc a b", None, "", "Cls_"]
+    made = corpus.orphans_contained(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(b,) for b in bodies], "body string"))
+    want = [n for n in names if n is None or not any(b is not None and n in b for b in bodies)]
+    assert sorted((r.name for r in made.collect()), key=str) == sorted(want, key=str)
+    assert corpus.orphans_contained(spark.createDataFrame([], "name string"), spark.createDataFrame([("a",)], "body string")).count() == 0
+
+
+def test_resync_numbers_each_object(spark):
+    requested = [(o, f"{o}{k * 7919 % 1009:014d}") for o, n in (("A", 701), ("B", 3)) for k in range(n)]
+    made = cdc.resync(spark.createDataFrame(requested * 2, "sobject string, record_id string"), spark.createDataFrame([], "sobject string, record_id string, fields map<string,string>"))
+    want = {(o, i): k // 200 for o in "AB" for k, i in enumerate(sorted(i for p, i in requested if p == o))}
+    assert {(r.sobject, r.record_id): r.chunk for r in made.collect()} == want and made.count() == len(requested)

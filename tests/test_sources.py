@@ -82,3 +82,20 @@ def test_topics(spark, tmp_path):
     assert changes.read(spark, str(tmp_path / "in"), ["/data/LeadChangeEvent"]).count() == 0
     assert changes.read(spark, str(tmp_path / "in"), []).count() == 5
     assert changes.schema_id("A", {"b": "string", "a": "int"}) == changes.schema_id("A", {"a": "int", "b": "string"})
+
+
+def test_kinds_of_flows(spark):
+    text = {"a": "<processType>Flow</processType><screens/>", "b": "<processType>Flow</processType>", "c": "<processType>AutoLaunchedFlow</processType>", "d": "<processType>AutoLaunchedFlow</processType><screens>", "e": "<processType>Orchestrator</processType><triggerType>RecordAfterSave", "f": ""}
+    rows = spark.createDataFrame([(f"/x/flows/{n}.flow-meta.xml", t) for n, t in text.items()], "path string, content string")
+    got = {r.path[9:10]: r.category for r in definitions.categorised(rows).collect()}
+    assert got == {"c": "autolaunched_flow", "e": "record_triggered_flow"}
+    rows = spark.createDataFrame([("/x/flows/g.flow-meta.xml", "<processType>Flow</processType><screens>")], "path string, content string")
+    assert definitions.categorised(rows).first().category == "screen_flow"
+
+
+def test_absent_elements_and_either_spelling_of_entries(spark):
+    rows = spark.createDataFrame([("/x/assignmentRules/A.assignmentRules-meta.xml", X.format("AssignmentRules", "<assignmentRule><ruleEntry><assignedTo>q</assignedTo></ruleEntry></assignmentRule>")), ("/x/assignmentRules/B.assignmentRules-meta.xml", "<AssignmentRules/>"), ("/x/workflows/W.workflow-meta.xml", "<Workflow/>")], "path string, content string")
+    got = {r.sobject: r.groups for r in definitions.assignment_rules(rows).collect()}
+    assert got["B"] == [] and [(g.name, g.active, [(e.assignedTo, e.assignedToType, e.formula, e.criteriaItems) for e in g.entries]) for g in got["A"]] == [("", True, [("q", "User", None, [])])]
+    (w,) = definitions.workflow_rules(rows).collect()
+    assert (w.sobject, w.rules, w.field_updates, w.alerts, w.tasks, w.messages) == ("W", [], [], [], [], [])
