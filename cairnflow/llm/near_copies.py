@@ -5,7 +5,9 @@ their SimHash fingerprints, far more than a search by exact distance can bridge,
 mostly those that were won by a narrow margin. So a fingerprint of eight segments of 23 bits is kept with its
 margins, and each segment is decoded to the two codewords of the Golay code that agree best with the margins. Two
 sets at 0.8 share one of them in about half of all segments; by the pigeonhole principle two that agree in any two
-segments share a key of two codewords. Rows that share a key and differ in at most 18 of 64 bits are candidates.
+segments share a key of two codewords. Rows that share a key and differ in at most 54 of all 192 bits are candidates.
+Fewer bits would not do: the two segments of a shared key agree anyway, and in the rest of 64 bits so many unrelated
+rows agree by chance that, from some millions of rows, most are linked to one another.
 
 Candidates are verified exactly: those that candidate links connect meet, and only pairs of a similarity of at least
 0.8 become links.
@@ -29,6 +31,8 @@ from cairnflow.llm.simhash import _syndrome, key_links
 from cairnflow.llm.tokens import gather
 
 SEGMENTS, BITS, NEAREST = 8, 23, 2
+#: The words of a fingerprint, and how many of their bits a candidate may differ in.
+WORDS, MOST = ("fp", "fp1", "fp2"), 54
 #: Shingles, with ROW for each set, that a task compares at a time.
 TASK, ROW = 1_000_000, 500
 
@@ -86,36 +90,36 @@ def decode(signed: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_id, set_id, n (shingles), fp (64 of the bits), codes (16 numbers) of each row."""
+    """doc_id, text_id, set_id, n (shingles), fp, fp1, fp2 (the bits), codes (16 numbers) of each row."""
 
     def run(batches):
         for part, texts in text_batches(batches):
             for k in range(0, len(texts), 256):
                 sets = [shingle_set(t, width) for t in texts[k : k + 256]]
                 signed = np.stack([margins(s) for s in sets])
-                fp = np.packbits(signed[:, :64] > 0, axis=1, bitorder="little").view("<i8").reshape(-1)
+                fp = np.packbits(signed > 0, axis=1, bitorder="little").view("<i8")
                 codes = decode(signed).reshape(len(sets), -1).astype(np.int32)
                 own = part.slice(k, len(sets))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), own.column("text_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), lists],
-                    ["doc_id", "text_id", "set_id", "n", "fp", "codes"],
+                    [own.column("doc_id"), own.column("text_id"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(w, pa.int64()) for w in fp.T], lists],
+                    ["doc_id", "text_id", "set_id", "n", *WORDS, "codes"],
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_id long, set_id long, n long, fp long, codes array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_id long, set_id long, n long, fp long, fp1 long, fp2 long, codes array<int>")
 
 
 def keys(classes: DataFrame) -> DataFrame:
-    """key, fp: a row for each two segments and each two of their codewords."""
+    """key, fp, fp1, fp2: a row for each two segments and each two of their codewords."""
     codes, each = F.col("codes"), []
     for number, (i, j) in enumerate(combinations(range(SEGMENTS), 2)):
         for a in range(NEAREST):
             for b in range(NEAREST):
                 pair = F.get(codes, F.lit(i * NEAREST + a)) * 4096 + F.get(codes, F.lit(j * NEAREST + b))
                 each.append(F.lit(number << 24).cast("long") + pair)
-    return classes.select(F.explode(F.array(*each)).alias("key"), "fp")
+    return classes.select(F.explode(F.array(*each)).alias("key"), *WORDS)
 
 
 def similar_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -149,7 +153,7 @@ def similar_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 def similar_sets(rows: DataFrame, docs: DataFrame, width: int, similarity: float, most: int, hot: int, text_col: str) -> DataFrame:
     """Links (a, b) between the set_ids of ``prints``, verified on the texts of ``docs``."""
-    classes = rows.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("codes").alias("codes"), F.min("n").alias("n"), F.min("text_id").alias("text_id"))
+    classes = rows.groupBy("set_id").agg(*[F.min(w).alias(w) for w in WORDS], F.min("codes").alias("codes"), F.min("n").alias("n"), F.min("text_id").alias("text_id"))
     classes = scratch_table(classes, "classes")
     clumps = connected_components(key_links(keys(classes), most, hot))
     placed = classes.join(clumps, classes.fp == clumps.node, "left").select("set_id", "text_id", "n", F.coalesce("component", "fp").alias("clump"))
@@ -178,7 +182,7 @@ def similar_sets(rows: DataFrame, docs: DataFrame, width: int, similarity: float
     return dealt.groupBy("clump", "part").applyInArrow(verify, "a long, b long")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 18, id_col: str = "doc_id", text_col: str = "text", hot: int = 16_384) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", hot: int = 16_384) -> DataFrame:
     """doc_id, text_id, set_id, component (a set_id) of each row: components of texts whose sets of shingles are at
     least ``similarity`` alike, as found. Texts with the same set, which includes all without words, are one.
     Repeated rows give repeated results, an empty table an empty one; other columns are not read."""

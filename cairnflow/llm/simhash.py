@@ -104,16 +104,23 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate([k[ok] for k, ok in out])
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each column of ``x`` differs from that of ``y`` (words x n)."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=0, dtype=np.uint16)
+
+
 def links_within(fp: np.ndarray, most: int = MOST) -> np.ndarray:
-    """n x 2 positions: each row that pairs at ``most`` bits or fewer connect to an earlier one, after the earliest
-    that it is connected to. Each row is compared with all after it that it is not connected to yet."""
-    bits, label = fp.view(np.uint64), np.arange(len(fp))
-    for i in range(len(bits) - 1):
-        at = np.flatnonzero((np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= most) & (label[i + 1 :] != label[i])) + i + 1
+    """n x 2 positions: each column of ``fp`` (words x n) that pairs at ``most`` bits or fewer connect to an earlier
+    one, after the earliest that it is connected to. Each is compared with all after it that it is not connected to
+    yet."""
+    n = fp.shape[1]
+    label = np.arange(n)
+    for i in range(n - 1):
+        at = np.flatnonzero((differing(fp[:, i + 1 :], fp[:, i : i + 1]) <= most) & (label[i + 1 :] != label[i])) + i + 1
         if len(at):
             labels = np.unique(label[at])
             label[np.isin(label, np.append(labels, label[i]))] = min(labels[0], label[i])
-    at = np.flatnonzero(label != np.arange(len(fp)))
+    at = np.flatnonzero(label != np.arange(n))
     return np.stack((label[at], at), axis=1)
 
 
@@ -128,21 +135,23 @@ def least_linked(values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray
     return least
 
 
-def _cells(pairs: np.ndarray, over: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Links as (a, b, null); rows of runs too large for the task as (fp, null, key)."""
+def _cells(pairs: np.ndarray, over: list[tuple[np.ndarray, np.ndarray]], words: list[str]) -> pa.RecordBatch:
+    """Links as (a, b, null); rows of runs too large for the task as (fp, null, key). Further words of the rows
+    follow, null for links."""
     key = np.concatenate([k for k, _ in over]) if over else np.zeros(0, np.int64)
-    fp = np.concatenate([f for _, f in over]) if over else np.zeros(0, np.int64)
+    fp = np.concatenate([f for _, f in over], axis=1) if over else np.zeros((len(words), 0), np.int64)
     none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(key), pa.int64())
-    a, b = pa.array(np.concatenate((pairs[:, 0], fp))), pa.concat_arrays([pa.array(pairs[:, 1]), none[1]])
-    return pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([none[0], pa.array(key)])], ["a", "b", "key"])
+    a, b = pa.array(np.concatenate((pairs[:, 0], fp[0]))), pa.concat_arrays([pa.array(pairs[:, 1]), none[1]])
+    rest = [pa.concat_arrays([none[0], pa.array(w)]) for w in (key, *fp[1:])]
+    return pa.RecordBatch.from_arrays([a, b, *rest], ["a", "b", "key", *words[1:]])
 
 
 def bucket_links(batches, most: int, limit: int, small: int = 24):
-    """Links within each run of equal (key, part) in sorted batches of key, part, fp. Small runs are compared by
-    shifting the whole batch, larger ones in blocks. A run may go over several batches; the rows of one with
-    over ``limit`` rows are passed on, for ``fingerprint_links`` to deal out."""
+    """Links within each run of equal (key, part) in sorted batches of key, part and the words of a fingerprint, the
+    first of which names it. Small runs are compared by shifting the whole batch, larger ones in blocks. A run may go
+    over several batches; the rows of one with over ``limit`` rows are passed on, for ``key_links`` to deal out."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    over = None
+    over, words = None, []
 
     def emit(key, part, fp):
         cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
@@ -151,53 +160,60 @@ def bucket_links(batches, most: int, limit: int, small: int = 24):
         few, run = np.repeat(size <= small, size), np.repeat(np.arange(len(size)), size)
         for d in range(1, min(small, int(size.max(initial=0)))):
             x = np.flatnonzero((run[:-d] == run[d:]) & few[:-d])
-            x = x[np.bitwise_count((fp[x] ^ fp[x + d]).view(np.uint64)) <= most]
+            x = x[differing(fp[:, x], fp[:, x + d]) <= most]
             pairs.append((x, x + d))
         if pairs:  # each to the least that it is connected to: the same link in many runs, and no pairs
             x, y = (np.concatenate(c) for c in zip(*pairs))
             at = np.unique(np.concatenate((x, y)))
-            found.append(np.stack((least_linked(fp, x, y)[at], fp[at]), axis=1))
+            found.append(np.stack((least_linked(fp[0], x, y)[at], fp[0][at]), axis=1))
         for k in np.flatnonzero(size > small).tolist():
+            own = fp[:, begin[k] : end[k]]
             if size[k] > limit:
-                large.append((key[begin[k] : end[k]], fp[begin[k] : end[k]]))
+                large.append((key[begin[k] : end[k]], own))
                 continue
-            own = np.unique(fp[begin[k] : end[k]])
-            found.append(own[links_within(own, most)])
+            own = own[:, np.lexsort(own[::-1])]
+            own = own[:, np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))]
+            found.append(own[0][links_within(own, most)])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return _cells(np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0), large)
+        return _cells(np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0), large, words)
+
+    def joined(parts):
+        return [np.concatenate(c, axis=-1) for c in zip(*parts)]
 
     for batch in batches:
-        key, part, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "fp"))
+        words = [c for c in batch.schema.names if c not in ("key", "part")]
+        key, part, *fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", *words))
+        fp = np.stack(fp)
         if over is not None and len(key):
             same = int(np.argmin(np.append((key == over[0]) & (part == over[1]), False)))
             if same:
-                yield _cells(np.zeros((0, 2), np.int64), [(key[:same], fp[:same])])
-                key, part, fp = key[same:], part[same:], fp[same:]
+                yield _cells(np.zeros((0, 2), np.int64), [(key[:same], fp[:, :same])], words)
+                key, part, fp = key[same:], part[same:], fp[:, same:]
         if not len(key):
             continue
         last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
-            held.append((key[:cut], part[:cut], fp[:cut]))
-            yield emit(*map(np.concatenate, zip(*held)))
+            held.append((key[:cut], part[:cut], fp[:, :cut]))
+            yield emit(*joined(held))
             held = []
-        held.append((key[cut:], part[cut:], fp[cut:]))
+        held.append((key[cut:], part[cut:], fp[:, cut:]))
         if sum(len(h[0]) for h in held) > limit:
             over = held[0][0][0], held[0][1][0]
-            yield _cells(np.zeros((0, 2), np.int64), [(k, f) for k, _, f in held])
+            yield _cells(np.zeros((0, 2), np.int64), [(k, f) for k, _, f in held], words)
             held = []
     if held:
-        yield emit(*map(np.concatenate, zip(*held)))
+        yield emit(*joined(held))
 
 
 def _dealt(keyed: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
-    """key, part, fp: the rows of keys in ``counts`` (key, n) go to pairs of parts of ``hot / 2`` rows each, so
+    """key, part and the words of ``keyed``: the rows of keys in ``counts`` (key, n) go to pairs of parts of ``hot / 2`` rows each, so
     that every two rows meet; others keep part 0."""
     large = counts.select("key", F.ceil(F.col("n") * 2 / hot).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, own) * F.col("parts") + F.greatest(x, own))
     parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(both)
-    return keyed.join(large, "key", "left").select("key", "fp", F.explode(parts).alias("part"))
+    return keyed.join(large, "key", "left").select(*keyed.columns, F.explode(parts).alias("part"))
 
 
 def fingerprint_links(classes: DataFrame, most: int = MOST, hot: int = 16_384, support: float = 1e-4) -> DataFrame:
@@ -219,7 +235,8 @@ def fingerprint_links(classes: DataFrame, most: int = MOST, hot: int = 16_384, s
 
 def key_links(keyed: DataFrame, most: int, hot: int = 16_384, support: float = 1e-4) -> DataFrame:
     """Links (a, b) between different fingerprints that share a key, rows (key, fp) of ``keyed``, which connect
-    everything that such pairs at ``most`` bits or fewer connect.
+    everything that such pairs at ``most`` bits or fewer connect. Columns after fp are further words of a fingerprint:
+    all of them are compared, and links name the first; fingerprints with the same first word count as linked.
 
     Keys may be shared by many rows. Misra-Gries finds all with over ``support`` of the key rows, at most
     ``1 / support`` keys; those with over ``hot`` rows are dealt into parts before the shuffle. Other runs of over
@@ -227,17 +244,19 @@ def key_links(keyed: DataFrame, most: int, hot: int = 16_384, support: float = 1
     compares ``hot`` rows at a time; no row is dropped.
     """
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _, fp, *more = keyed.columns
+    cells = ", ".join(f"{c} long" for c in ("a", "b", "key", *more))
 
     def met(dealt: DataFrame, limit: int) -> DataFrame:
-        rows = dealt.select("key", "part", "fp").repartition(n, "key", "part").sortWithinPartitions("key", "part")
-        return rows.mapInArrow(lambda batches: bucket_links(batches, most, limit), "a long, b long, key long").distinct()
+        rows = dealt.select("key", "part", fp, *more).repartition(n, "key", "part").sortWithinPartitions("key", "part")
+        return rows.mapInArrow(lambda batches: bucket_links(batches, most, limit), cells).distinct()
 
     of_key = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     frequent = keyed.stat.freqItems(["key"], support).select(F.explode("key_freqItems").alias("key"))
     large = scratch_table(of_key(keyed.join(F.broadcast(frequent), "key", "left_semi")).filter(F.col("n") > hot), "hot")
     first = keyed.withColumn("part", F.lit(0)) if large.isEmpty() else _dealt(keyed, F.broadcast(large), hot)
     found = scratch_table(met(first, hot), "links")
-    links, over = found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias("fp"))
+    links, over = found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias(fp), *more)
     if over.isEmpty():
         return links
     return links.union(met(_dealt(over, of_key(over), hot), 1 << 62).select("a", "b"))

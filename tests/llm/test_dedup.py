@@ -134,6 +134,31 @@ def test_near_copies(make, monkeypatch):
     assert near_copies.near_copies(make([])).count() == 0
 
 
+def test_unrelated_rows_are_no_candidates(spark):
+    r = np.random.default_rng(8)
+    x = r.integers(-(1 << 63), (1 << 63) - 1, (2, 3))
+    near = x[0] ^ r.permutation([1 << 5, (1 << 9) + 1, 7])
+    half = [x[0, 0] ^ 0b1011, *x[1, 1:]]  # 61 of the first 64 bits agree, of the others half
+    rows = [(key, *map(int, w)) for w in (x[0], near, half) for key in (1, 2)]
+    rows += [(key, k, k, k) for k in range(40) for key in (3, 4)]  # a run of over ``small`` rows
+    rows += [(4, 0, -1, -1), (4, 1 << 62, 0, 0), (4, 1 << 61, -1, -1)]
+    keyed = spark.createDataFrame(rows, "key long, fp long, fp1 long, fp2 long")
+    for hot in (16_384, 6):
+        got = {(e.a, e.b) for e in simhash.key_links(keyed, near_copies.MOST, hot).collect() if e.a != e.b}
+        found = {e.node: e.component for e in components.connected_components(spark.createDataFrame(list(got), "a long, b long")).collect()}
+        assert found[int(x[0, 0])] == found[int(near[0])] and int(half[0]) not in found
+        assert {found[k] for k in range(40)} == {0} and found[1 << 62] == 0 and 1 << 61 in found
+
+
+def test_candidates_are_few(make):
+    r = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 10**6, 8)) for _ in range(12_000)]
+    keyed = near_copies.keys(near_copies.prints(make(list(enumerate(texts))), 5, "doc_id", "text"))
+    # rows that share a key by chance: about 3 in 10,000,000 pairs also agree in 46 of their first 64 bits
+    assert simhash.key_links(keyed, near_copies.MOST).count() == 0
+    assert simhash.key_links(keyed.select("key", "fp"), 18).count() > 0
+
+
 def test_drop_near_copies(make):
     words = " ".join(f"w{k}" for k in range(100))
     rows = [(8, words + " x"), (9, words), (8, "other text that is alone"), (None, words + " y"), (None, None), (5, ""), (5, " "), (3, "one of a pair"), (3, "one of a pair"), (4, "One of a PAIR")]
